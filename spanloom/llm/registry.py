@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, urls
+from . import mixing, simhash, urls
 
-MODULES = [mixing, urls]
+MODULES = [mixing, simhash, urls]
 
 QUERIES = {m.NAME: m.query for m in MODULES}
 ORACLES = {m.NAME: m.ORACLE_SQL for m in MODULES if m.ORACLE_SQL}
