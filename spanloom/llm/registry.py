@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, substrings, urls
+from . import mixing, simhash, substrings, tokens, urls
 
-MODULES = [mixing, simhash, substrings, urls]
+MODULES = [mixing, simhash, substrings, tokens, urls]
 
 QUERIES = {m.NAME: m.query for m in MODULES}
 ORACLES = {m.NAME: m.ORACLE_SQL for m in MODULES if m.ORACLE_SQL}
