@@ -25,6 +25,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
 
 
 def _heads(*sorted_columns: np.ndarray) -> np.ndarray:
-    """Where a new combination of values begins."""
+    """Where a new combination of values begins; none where there are no rows."""
     n = len(sorted_columns[0])
     new = np.zeros(n, bool)
     new[:1] = True
@@ -76,7 +77,7 @@ def _packed(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray]) -> It
         yield int(b), [c[cuts[b] : cuts[b + 1]].tobytes() for c in columns]
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> list[np.ndarray]:
+def _unpacked(batches: list[pa.RecordBatch], kinds: dict[str, type]) -> list[np.ndarray]:
     parts: dict[str, list[bytes]] = {k: [] for k in kinds}
     for batch in batches:
         for k in kinds:
@@ -93,41 +94,49 @@ def _ask_anchors(size: int, n_buckets: int):
             for part in pieces(batch, "text"):
                 w, _, starts, name = _parsed(part, size)
                 ids = _ids(part)[w.doc[starts]]
-                at = _heads(name, ids) if len(name) else np.zeros(0, np.int64)
+                at = _heads(name, ids)
                 name, ids = name[at], ids[at]
                 order = np.lexsort((ids, name))
                 name, ids = name[order], ids[order]
-                at = _heads(name, ids) if len(name) else at
+                at = _heads(name, ids)
                 name, ids = name[at], ids[at]
-                first = _heads(name) if len(name) else at
+                first = _heads(name)
                 rows = [(b, n, i, False) for b, (n, i) in _packed((name[first] % np.uint64(n_buckets)).astype(np.int64), n_buckets, [name[first], ids[first]])]
                 many = np.repeat(np.diff(np.append(first, len(name))) > 1, np.diff(np.append(first, len(name))))
                 if many.any():
-                    rows.append((0, name[many].tobytes(), ids[many].tobytes(), True))
+                    rows.append((int(name[0] % np.uint64(n_buckets)), name[many].tobytes(), ids[many].tobytes(), True))
                 bucket, names, docs, known = zip(*rows) if rows else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(names, pa.binary()), pa.array(docs, pa.binary()), pa.array(known, pa.bool_())], ["bucket", "names", "docs", "known"])
 
     return run
 
 
-def _flat(known: bool):
-    """(doc_id, name) of names that two documents have: as the task found, or over all that asked."""
+def _known_first(batches: Iterator[pa.RecordBatch], asked: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose answer is known; the others are put aside."""
+    for batch in batches:
+        known = batch.column("known")
+        asked.append(batch.filter(pc.invert(known)))
+        yield batch.filter(known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in ([b] for b in batches) if known else [batches]:
-            name, doc = _unpacked(iter(some), {"names": np.uint64, "docs": np.int64})
-            if not known:
-                order = np.lexsort((doc, name))
-                name, doc = name[order], doc[order]
-                at = _heads(name) if len(name) else np.zeros(0, np.int64)
-                if len(at):
-                    last = np.append(at[1:], len(name)) - 1
-                    shared = np.repeat(doc[at] != doc[last], np.diff(np.append(at, len(name))))
-                    name, doc = name[shared], doc[shared]
-            for k in range(0, len(name), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + (1 << 16)]), pa.array(name[k : k + (1 << 16)].view(np.int64))], ["doc_id", "name"])
 
-    return run
+def _shared_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, name) of names that two documents have: as a task found, or over all that asked."""
+
+    def out(name: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(name), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[k : k + (1 << 16)]), pa.array(name[k : k + (1 << 16)].view(np.int64))], ["doc_id", "name"])
+
+    kinds, asked = {"names": np.uint64, "docs": np.int64}, []
+    for batch in _known_first(batches, asked):
+        yield from out(*_unpacked([batch], kinds))
+    name, doc = _unpacked(asked, kinds)
+    order = np.lexsort((doc, name))
+    name, doc = name[order], doc[order]
+    if len(name):
+        at = _heads(name)
+        last = np.append(at[1:], len(name)) - 1
+        shared = (doc[at] != doc[last])[_spread(at, len(name))]
+        yield from out(name[shared], doc[shared])
 
 
 # ---------------------------------------------------------------- 2: repeated windows
@@ -176,7 +185,7 @@ def _ask_windows(size: int, n_buckets: int):
                         continue
                     columns = [n[run_head], d[run_head], a[run_head], run_size]
                     if known:
-                        rows.append((0, *(c.tobytes() for c in columns), b"", True))
+                        rows.append((int(d[0] % n_buckets), *(c.tobytes() for c in columns), b"", True))
                         continue
                     bucket = (columns[0] % np.uint64(n_buckets)).astype(np.int64)
                     of_each = _packed(np.repeat(bucket, run_size), n_buckets, [x])
@@ -187,33 +196,32 @@ def _ask_windows(size: int, n_buckets: int):
     return run
 
 
-def _repeats(known: bool):
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, low, high): windows low to high - 1 of the document start in a smaller one too."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in ([b] for b in batches) if known else [batches]:
-            name, doc, at, n, hashes = _unpacked(iter(some), _RUN)
-            n = n.astype(np.int64)
-            if not known and len(name):
-                first = np.cumsum(n) - n
-                doc = np.repeat(doc, n)
-                at = np.repeat(at - first, n) + np.arange(len(doc))
-                order = np.lexsort((doc, hashes, np.repeat(name, n)))
-                head = _heads(np.repeat(name, n)[order], hashes[order])
-                least = np.empty(len(order), np.int64)
-                least[order] = doc[order][head][_spread(head, len(order))]
-                doc, at = doc[doc > least], at[doc > least]
-                order = np.lexsort((at, doc))
-                doc, at = doc[order], at[order]
-                head = _heads(doc, at - np.arange(len(at))) if len(at) else np.zeros(0, np.int64)
-                n = np.diff(np.append(head, len(at)))
-                doc, at = doc[head], at[head]
-            at = at.astype(np.int32)
-            for k in range(0, len(doc), 1 << 16):
-                s = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(at[s]), pa.array((at[s] + n[s]).astype(np.int32))], ["doc_id", "low", "high"])
+    def out(doc: np.ndarray, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(doc), 1 << 16):
+            s = slice(k, k + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[s]), pa.array(at[s].astype(np.int32)), pa.array((at[s] + n[s]).astype(np.int32))], ["doc_id", "low", "high"])
 
-    return run
+    asked: list[pa.RecordBatch] = []
+    for batch in _known_first(batches, asked):
+        _, doc, at, n, _ = _unpacked([batch], _RUN)
+        yield from out(doc, at, n.astype(np.int32))
+    name, doc, at, n, hashes = _unpacked(asked, _RUN)
+    if not len(name):
+        return
+    n = n.astype(np.int64)
+    name, doc, at = np.repeat(name, n), np.repeat(doc, n), np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    order = np.lexsort((doc, hashes, name))
+    head = _heads(name[order], hashes[order])
+    least = np.empty(len(order), np.int64)
+    least[order] = doc[order][head][_spread(head, len(order))]
+    doc, at = doc[doc > least], at[doc > least]
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    head = _heads(doc, at - np.arange(len(at)))
+    yield from out(doc[head], at[head], np.diff(np.append(head, len(at))))
 
 
 # ---------------------------------------------------------------- 3: cutting
@@ -260,21 +268,15 @@ def _cut(size: int, with_text: bool):
     return run
 
 
-def _by_bucket(asked: DataFrame, n: int) -> DataFrame:
-    return asked.where("NOT known").repartitionById(n, "bucket")
-
-
 def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, spans: array of (low, high), windows that start in a smaller document too."""
     ship(docs.sparkSession)
     n = shuffle_width(docs.sparkSession)
     asked = docs.mapInArrow(_ask_anchors(size, n), "bucket int, names binary, docs binary, known boolean")
-    pair = "doc_id long, name long"
-    shared = asked.where("known").mapInArrow(_flat(True), pair).unionByName(_by_bucket(asked, n).mapInArrow(_flat(False), pair))
+    shared = asked.repartitionById(n, "bucket").mapInArrow(_shared_names, "doc_id long, name long")
     names = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
     asked = docs.join(names.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_ask_windows(size, n), _ASKED)
-    span = "doc_id long, low int, high int"
-    spans = asked.where("known").mapInArrow(_repeats(True), span).unionByName(_by_bucket(asked, n).mapInArrow(_repeats(False), span))
+    spans = asked.repartitionById(n, "bucket").mapInArrow(_repeats, "doc_id long, low int, high int")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
