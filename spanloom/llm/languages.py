@@ -1,11 +1,11 @@
 """Language ID: scripts narrow the candidates, character n-grams score each word, Viterbi labels spans.
 
-A word's score for a language is the log-likelihood of its character n-grams (one to three letters, with
-word ends) under that language, divided by three, as each letter lies in up to three of them.  Languages
-that hardly use the word's script are no candidates.  The best path through a text pays a penalty for
-every switch, so that spans of mixed texts are labelled while single odd words are not.  Where no stretch
-of words gains more than half a penalty by any other language, staying with the best one is provably the
-best path, and the dynamic programme is left out.
+A word's score for a language is the log-likelihood of the n-grams of its UTF-8 bytes (two and three,
+with word ends) under that language, halved, as each letter ends one of each.  Languages that hardly use
+the word's script are no candidates.  The best path through a text pays a penalty for every switch, so
+that spans of mixed texts are labelled while single odd words are not.  Where no stretch of words gains
+more than half a penalty by any other language, staying with the best one is provably the best path, and
+the dynamic programme is left out.
 
 Learning takes texts with a language outside the held-out fold, at most TRAIN_ROWS of them, drawn by hash.
 
@@ -17,7 +17,6 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,26 +27,25 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.runtime import cut, ship, table
+from spanloom.runtime import ship, table
 
 from .sampling import at_most, fold
-from .text import pieces
+from .text import Words, pieces, raw, words
 
 NAME = "op8_language_id"
 ORACLE_SQL = None
 
 FOLDS, HELD_OUT = 3, 1
-#: Bounds on what is learnt from and what is sent to the tasks.
+#: The bound on what is learnt from.
 TRAIN_ROWS = 20_000
-MODEL_GRAMS = 50_000
 
 UNKNOWN = "und"
 PENALTY = 12.0
 SMOOTH = 0.5
 #: A language is a candidate for a script that writes at least this share of its words.
 LEAST_SHARE = 0.001
-#: Entries of a worker's cache of word scores; it starts anew when full.
-CACHE_WORDS = 300_000
+#: Pairs of bytes have a row of weights each, triples share 2 ** TRIPLE_BITS by hash.
+PAIRS, TRIPLE_BITS = 1 << 16, 17
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -59,55 +57,63 @@ SCRIPTS = (
 )
 
 
-def script_of(word: str) -> str:
-    """The script of a word's first letter."""
-    point = ord(word[0])
-    return next((name for name, low, high in SCRIPTS if low <= point <= high), "other")
-
-
-def grams_of(word: str) -> list[str]:
-    w = f"<{word}>"
-    n = len(w)
-    return [*word, *(w[i : i + 2] for i in range(n - 1)), *(w[i : i + 3] for i in range(n - 2))]
+#: Scripts by name; the last number stands for all others.
+SCRIPT_NAMES = tuple(dict.fromkeys(name for name, _, _ in SCRIPTS))
 
 
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
-    grams: dict[str, int] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))  # the last row is for unseen grams
-    scripts: dict[str, np.ndarray] = field(default_factory=dict)  # which languages are candidates
-
-
-class Scorer:
-    """Scores of words, each computed once while it stays in the cache."""
-
-    def __init__(self, model: Model) -> None:
-        self.model, self.known, self.rows, self.n = model, {}, np.zeros((1024, len(model.languages))), 0
-
-    def row(self, word: str) -> np.ndarray:
-        m = self.model
-        index = [m.grams.get(g, -1) for g in grams_of(word)]
-        score = m.weights[index].sum(axis=0, dtype=float) / 3
-        fits = m.scripts.get(script_of(word))
-        if fits is None or not fits.any():
-            return np.zeros(len(m.languages))
-        return np.where(fits, score, score.min() - 100.0)
-
-    def scores(self, found: list[str]) -> np.ndarray:
-        known = self.known
-        missing = [w for w in dict.fromkeys(found) if w not in known]
-        if len(known) + len(missing) > CACHE_WORDS and known:
-            self.known, self.n = known, 0
-            known.clear()
-            missing = list(dict.fromkeys(found))
-        while self.n + len(missing) > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        for w in missing:
-            self.rows[self.n] = self.row(w)
-            known[w] = self.n
-            self.n += 1
-        return self.rows[[known[w] for w in found]]
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    candidates: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), bool))  # by script and language
+
+
+def letters_only(texts: pa.Array) -> Words:
+    """The lower-cased words of letters and marks, each between spaces."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pM]+", " ")
+    space = pa.scalar(" ", plain.type)
+    return words(*raw(pc.binary_join_element_wise(space, plain, space, pa.scalar("", plain.type))))
+
+
+def gram_rows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of weights of the pair and of the triple that end at each byte."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+    one, two = np.full(len(b), 32, np.uint32), np.full(len(b), 32, np.uint32)
+    one[1:], two[2:] = b[:-1], b[:-2]
+    two[one == 32] = 32
+    pair = one << 8 | b
+    triple = ((two << 16 | pair) * np.uint32(0x9E3779B1)) >> np.uint32(32 - TRIPLE_BITS)
+    return pair, triple + np.uint32(PAIRS)
+
+
+def script_numbers(w: Words) -> np.ndarray:
+    """The script of each word's first letter."""
+    b = np.frombuffer(w.data + bytes(3), np.uint8).astype(np.int64)
+    lead = b[w.start]
+    tail = [b[w.start + k] & 0x3F for k in (1, 2, 3)]
+    point = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [lead, (lead & 0x1F) << 6 | tail[0], (lead & 0x0F) << 12 | tail[0] << 6 | tail[1]], (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2])
+    out = np.full(len(lead), len(SCRIPT_NAMES))
+    for name, low, high in SCRIPTS:
+        out[(point >= low) & (point <= high)] = SCRIPT_NAMES.index(name)
+    return out
+
+
+def word_scores(w: Words, model: Model) -> np.ndarray:
+    """A row of scores by language for each word."""
+    if not len(w.start):
+        return np.zeros((0, len(model.languages)))
+    pair, triple = gram_rows(w.data)
+    each = model.weights[pair] + model.weights[triple]
+    # Up to the next word: the word, the space that ends it, and maybe the space that opens the next text.
+    b = np.frombuffer(w.data, np.uint8)
+    each[1:][(b[1:] == 32) & (b[:-1] == 32)] = 0
+    each[: w.start[0]] = 0
+    scores = np.add.reduceat(each, w.start, axis=0).astype(float) / 2
+    fits = model.candidates[script_numbers(w)]
+    none = ~fits.any(axis=1)
+    scores = np.where(fits, scores, scores.min(axis=1, keepdims=True) - 100.0)
+    scores[none] = 0
+    return scores
 
 
 def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -132,52 +138,40 @@ def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     return np.array(path[::-1])
 
 
+_SCRIPT_ROWS = PAIRS + (1 << TRIPLE_BITS)
+
+
 def _train_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts: Counter = Counter()
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                counts[lang, "script " + script_of(word)] += n
-                for g in grams_of(word):
-                    counts[lang, g] += n
-        langs, grams = zip(*counts) if counts else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(counts.values(), pa.int64())], ["lang", "gram", "n"])
+        for part in pieces(batch, "text"):
+            for lang in part.column("lang").unique().to_pylist():
+                w = letters_only(part.filter(pc.equal(part.column("lang"), lang)).column("text"))
+                b = np.frombuffer(w.data, np.uint8)
+                inside = np.ones(len(b), bool)
+                inside[1:] = (b[1:] != 32) | (b[:-1] != 32)
+                inside[:1] = False
+                rows = np.concatenate([*(r[inside] for r in gram_rows(w.data)), script_numbers(w).astype(np.uint32) + np.uint32(_SCRIPT_ROWS)])
+                row, n = np.unique(rows, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(row), pa.string()), pa.array(row.astype(np.int32)), pa.array(n)], ["lang", "row", "n"])
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """docs: doc_id, text, lang; rows of the held-out fold must be gone already."""
+    """docs: doc_id, text, lang; rows of the held-out fold must be gone already.  The counts that come to the
+    driver are at most one for each language and row of weights."""
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     drawn = at_most(rows.select("doc_id", "lang"), train_rows).select("doc_id").distinct()
     train = rows.join(F.broadcast(drawn), "doc_id", "left_semi").select("text", "lang")
-    counts = cut(train.mapInArrow(_train_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("gram").agg(F.sum("n").alias("total"))
-    top = totals.where("gram NOT LIKE 'script %'").orderBy(F.desc("total"), "gram").limit(MODEL_GRAMS).select("gram")
-    kept = counts.join(F.broadcast(top.unionByName(totals.where("gram LIKE 'script %'").select("gram"))), "gram").toPandas()
-    if not len(kept):
+    counts = train.mapInArrow(_train_counts, "lang string, row int, n long").groupBy("lang", "row").agg(F.sum("n").alias("n")).toPandas()
+    if not len(counts):
         return Model()
-    languages = sorted(kept.lang.unique().tolist(), key=lambda x: x.encode())
-    scripts = kept[kept.gram.str.startswith("script ")]
-    wide = scripts.pivot_table(index="lang", columns="gram", values="n", fill_value=0).reindex(languages, fill_value=0)
-    share = wide.div(wide.sum(axis=1).clip(lower=1), axis=0)
-    model = Model(languages, scripts={c.removeprefix("script "): (share[c] >= LEAST_SHARE).to_numpy() for c in share.columns})
-    grams = kept[~kept.gram.str.startswith("script ")]
-    table_ = grams.pivot_table(index="gram", columns="lang", values="n", fill_value=0).reindex(columns=languages, fill_value=0)
-    model.grams = {g: i for i, g in enumerate(table_.index)}
-    n = np.vstack([table_.to_numpy(float), np.zeros(len(languages))]) + SMOOTH
-    model.weights = np.log(n / n.sum(axis=0)).astype(np.float32)
-    return model
-
-
-#: The scorer of the model last used in this worker.
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
-    if id(model) not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[id(model)] = Scorer(model)
-    return _SCORERS[id(model)]
+    languages = sorted(counts.lang.unique().tolist(), key=lambda x: x.encode())
+    n = np.zeros((_SCRIPT_ROWS + len(SCRIPT_NAMES) + 1, len(languages)))
+    n[counts.row, counts.lang.map(languages.index)] = counts.n
+    grams, scripts = n[:_SCRIPT_ROWS] + SMOOTH, n[_SCRIPT_ROWS:]
+    for part in (grams[:PAIRS], grams[PAIRS:]):
+        part /= part.sum(axis=0)
+    return Model(languages, np.log(grams).astype(np.float32), scripts >= LEAST_SHARE * np.maximum(scripts.sum(axis=0), 1))
 
 
 def label(docs: DataFrame, model: Model, spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -189,30 +183,29 @@ def label(docs: DataFrame, model: Model, spans: bool = False, carry: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        scorer = _scorer(model)
         for batch in batches:
             for part in pieces(batch, "text"):
-                texts = pc.fill_null(part.column("text"), "").to_pylist()
-                found = [WORD.findall(t.lower()) for t in texts] if model.languages else [[] for _ in texts]
-                scores = scorer.scores([w for ws in found for w in ws])
-                chosen, sure, listed, at = [], [], [], 0
-                for text, ws in zip(texts, found):
-                    if not ws:
+                lettered = pc.match_substring_regex(pc.fill_null(part.column("text"), ""), r"\pL").to_pylist()
+                w = letters_only(part.column("text"))
+                scores = word_scores(w, model) if model.languages else None
+                chosen, sure, listed = [], [], []
+                for d, has_letter in enumerate(lettered):
+                    a, b = int(w.first[d]), int(w.first[d + 1])
+                    if not has_letter or scores is None or a == b:
                         chosen.append(UNKNOWN)
                         sure.append(0.0)
                         listed.append([])
                         continue
-                    path = best_path(scores[at : at + len(ws)])
-                    at += len(ws)
+                    path = best_path(scores[a:b])
                     n = np.bincount(path, minlength=len(model.languages))
                     chosen.append(model.languages[int(n.argmax())])
-                    sure.append(float(n.max() / len(ws)))
+                    sure.append(float(n.max() / (b - a)))
                     if spans:
                         head = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
-                        place = [m.span() for m in WORD.finditer(text)]
                         # Lower-casing may change lengths; words keep their order and number but for rare letters.
+                        place = [m.span() for m in WORD.finditer(part.column("text")[d].as_py())]
                         last = [*(head[1:] - 1), len(path) - 1]
-                        listed.append([{"lang": model.languages[path[a]], "low": place[min(a, len(place) - 1)][0], "high": place[min(b, len(place) - 1)][1]} for a, b in zip(head, last)])
+                        listed.append([{"lang": model.languages[path[x]], "low": place[min(x, len(place) - 1)][0], "high": place[min(y, len(place) - 1)][1]} for x, y in zip(head, last)])
                 out = [part.column("doc_id"), pa.array(chosen, pa.string()), pa.array(sure, pa.float64())]
                 if spans:
                     out.append(pa.array(listed, pa.list_(pa.struct([("lang", pa.string()), ("low", pa.int32()), ("high", pa.int32())]))))
