@@ -237,7 +237,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one that names it (of repeated rows, one)."""
+    """One document of each component stays: the one that names it (of repeated rows, one).  Documents with
+    a null id stay."""
     found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id")
+    named = found.where("doc_id = component_id").select("doc_id")
+    kept = docs.join(gone.join(named, "doc_id", "left_anti").distinct(), "doc_id", "left_anti")
+    return kept.withColumn("same", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "same"]).drop("same")
