@@ -152,9 +152,10 @@ def cross_section(s: Superset, segment: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- constants, loops
 
 
-def constants(s: Superset) -> DataFrame:
-    """(image_id, addr, value): words that are addresses of vertices."""
-    values = s.insn.where("word BETWEEN 1 AND n").select("image_id", F.col("addr").alias("at"), F.col("word").alias("addr"))
+def constants(s: Superset, memory: DataFrame) -> DataFrame:
+    """(image_id, addr, value): words anywhere in memory that are addresses of vertices.  memory: rows of every
+    offset, whether trimmed or not."""
+    values = memory.where("word BETWEEN 1 AND n").select("image_id", F.col("addr").alias("at"), F.col("word").alias("addr"))
     return values.join(s.vertex, AT, "left_semi").select("image_id", F.col("at").alias("addr"), F.col("addr").alias("value"))
 
 

@@ -327,9 +327,10 @@ def rebalance(spark, sf_dir):
     return relations.rebalance(lossy, images.segments(source)).bad
 
 
-@_register("constants", _sql("SELECT i.image_id, i.addr, i.word AS value FROM live i SEMI JOIN live v ON i.image_id = v.image_id AND i.word = v.addr"))
+@_register("constants", _sql("SELECT i.image_id, i.addr, i.word AS value FROM insn i SEMI JOIN live v ON i.image_id = v.image_id AND i.word = v.addr"))
 def constants(spark, sf_dir):
-    return relations.constants(_live(spark, sf_dir))
+    source = images.documents(spark, sf_dir)
+    return relations.constants(trimmed(source), decode(source))
 
 
 @_register("cross_section", _sql("""SELECT e.image_id, e.src, max(e.dst) AS dst FROM edge e JOIN insn i ON e.image_id = i.image_id AND e.src = i.addr LEFT JOIN insn j ON e.image_id = j.image_id AND e.dst = j.addr
@@ -441,26 +442,28 @@ for _name, _of in {
 # ---------------------------------------------------------------- evidence
 
 
-def _features(s: Superset) -> dict[str, DataFrame]:
-    return {"UnfilteredGrammar": relations.branches(s), "FixpointGrammar": relations.branches(s), "Clamped": relations.free_insns(s), "ImgEntry": s.insn.where("addr = 1"), "Constant": relations.constants(s).select("image_id", F.col("value").alias("addr")).distinct()}
+def _features(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    source = images.documents(spark, sf_dir)
+    s = trimmed(source)
+    return {"UnfilteredGrammar": relations.branches(s), "FixpointGrammar": relations.branches(s), "Clamped": relations.free_insns(s), "ImgEntry": s.insn.where("addr = 1"), "Constant": relations.constants(s, decode(source)).select("image_id", F.col("value").alias("addr")).distinct()}
 
 
 _EVIDENCE = """,
 ev AS (SELECT image_id, addr, 2 AS weight, 'UnfilteredGrammar' AS feature FROM deg WHERE out_ >= 2 UNION ALL SELECT image_id, addr, 1, 'FixpointGrammar' FROM deg WHERE out_ >= 2
        UNION ALL SELECT image_id, addr, 2, 'Clamped' FROM free UNION ALL SELECT image_id, addr, 2, 'ImgEntry' FROM live WHERE addr = 1
-       UNION ALL SELECT DISTINCT i.image_id, i.word, 2, 'Constant' FROM live i SEMI JOIN live v ON i.image_id = v.image_id AND i.word = v.addr)"""
+       UNION ALL SELECT DISTINCT i.image_id, i.word, 2, 'Constant' FROM insn i SEMI JOIN live v ON i.image_id = v.image_id AND i.word = v.addr)"""
 _TRUTH = """,
 ent AS (SELECT image_id, 1::BIGINT AS addr FROM insn WHERE addr = 1 UNION SELECT image_id, addr + 1 FROM insn WHERE word = 10 AND addr < n)""" + _closure("truth", "SELECT image_id, addr FROM ent", True, "edge")
 
 
 @_register("evidence", _sql("SELECT image_id, addr, weight, feature FROM ev", extra=_EVIDENCE))
 def evidence(spark, sf_dir):
-    return metrics.evidence(_features(_live(spark, sf_dir)))
+    return metrics.evidence(_features(spark, sf_dir))
 
 
 @_register("evidence_total", _sql("SELECT image_id, addr, sum(weight)::BIGINT AS total FROM ev GROUP BY ALL HAVING sum(weight) > 2", extra=_EVIDENCE))
 def evidence_total(spark, sf_dir):
-    return metrics.totals(metrics.evidence(_features(_live(spark, sf_dir))), 2)
+    return metrics.totals(metrics.evidence(_features(spark, sf_dir)), 2)
 
 
 def _truth(spark, sf_dir) -> DataFrame:
@@ -476,7 +479,7 @@ def ground_truth(spark, sf_dir):
 @_register("distributions", _sql("""SELECT feature, bucket, count(*) FILTER (t) AS tp, count(*) FILTER (NOT t) AS fp FROM (
   SELECT p.*, (image_id, addr) IN (SELECT (image_id, addr) FROM truth) AS t FROM (SELECT image_id, addr, feature, least(sum(weight), 99)::BIGINT AS bucket FROM ev GROUP BY ALL) p) GROUP BY ALL""", extra=_EVIDENCE + _TRUTH))
 def distributions(spark, sf_dir):
-    return metrics.distributions(metrics.evidence(_features(_live(spark, sf_dir))), _truth(spark, sf_dir), Options().threshold)
+    return metrics.distributions(metrics.evidence(_features(spark, sf_dir)), _truth(spark, sf_dir), Options().threshold)
 
 
 # ---------------------------------------------------------------- metrics

@@ -35,8 +35,10 @@ JUDGED_COLOURS = {"false negatives": "red", "true positives": "green", "false po
 
 def digests(images: DataFrame, options: Options | None = None) -> DataFrame:
     """(image_id, digest): of the bytes and the loader; with options, of all that shapes the result."""
-    shaped = (options or Options()).loader if options is None else ";".join(f"{k}={v}" for k, v in sorted(asdict(options).items()))
-    return images.select("image_id", F.concat(F.md5("bytes"), F.lit(shaped)).alias("digest"))
+    if options is None:
+        return images.select("image_id", F.concat(F.md5("bytes"), F.lit(Options().loader)).alias("digest"))
+    shaped = ";".join(f"{k}={v}" for k, v in sorted(asdict(options).items()))
+    return images.select("image_id", F.sha2(F.concat(F.md5("bytes"), F.lit(shaped)), 256).alias("digest"))
 
 
 def format_metrics(metrics: DataFrame, template: str, names: list[str]) -> DataFrame:
