@@ -37,7 +37,7 @@ by0 AS (SELECT image_id, len(l) AS n, unnest(l) AS x, generate_subscripts(l, 1)
 by1 AS (SELECT image_id, n, addr, ('0x' || x)::INT AS b FROM by0),
 by2 AS (SELECT *, CASE WHEN (b // 4) % 8 = 4 OR addr + b % 4 > n THEN 'invalid' ELSE (['ret','jmp','cond','call','invalid','seq','seq','seq'])[(b // 4) % 8 + 1] END AS kind FROM by1),
 by3 AS (SELECT *, CASE WHEN kind = 'invalid' THEN 1 ELSE 1 + b % 4 END AS len FROM by2),
-insn AS (
+insn AS MATERIALIZED (
   SELECT image_id, addr::BIGINT AS addr, len::INT AS len, kind <> 'invalid' AS valid, kind,
          CASE WHEN kind IN ('cond','call','seq') THEN addr + len END::BIGINT AS fall,
          CASE WHEN kind IN ('jmp','cond','call') THEN addr + len + (b * 37) % 41 - 20 END::BIGINT AS jump,
@@ -46,7 +46,7 @@ insn AS (
   FROM by3
 ),
 tgt AS (SELECT image_id, n, len, addr AS src, fall AS dst FROM insn WHERE fall IS NOT NULL UNION SELECT image_id, n, len, addr, jump FROM insn WHERE jump IS NOT NULL),
-edge AS (SELECT image_id, src, dst FROM tgt),
+edge AS MATERIALIZED (SELECT image_id, src, dst FROM tgt),
 vertex AS (SELECT image_id, addr FROM insn UNION SELECT image_id, dst FROM edge)"""
 
 
