@@ -14,10 +14,10 @@ rows are judged each; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.runtime import table
+from spanloom.runtime import cut, table
 
 NAME = "op2_license_scan"
 
@@ -82,6 +82,8 @@ def scan(files: DataFrame) -> DataFrame:
     lines = hinted.select("row", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x.rlike(HINT))).alias("line", "text"))
     whole = hinted.select("row", F.lit(-1).alias("line"), "text")
     units = lines.unionByName(whole).select("row", "line", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("row", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Both are read several times below; the rows of hinted texts are few.
+    idf, units = cut(idf), cut(units)
     units = units.join(F.broadcast(idf), "term", "left")
     likeness = _likeness(units, ["row", "line"], weighed, unseen)
     own_file = _best(likeness.where("line < 0"), ["row"], FILE_LIKENESS, "file")
