@@ -22,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
 #: Rows aimed at in one range of keys of one source.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
