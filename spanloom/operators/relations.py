@@ -64,8 +64,14 @@ def callers(s: Superset) -> DataFrame:
     return with_fall(s.edge, s.insn).where("after <> dst").select("image_id", F.col("dst").alias("addr"), F.col("src").alias("caller"))
 
 
-def callsites(s: Superset, threshold: int = 6) -> DataFrame:
-    return callers(s).groupBy(AT).agg(F.count(F.lit(1)).alias("callers")).where(F.col("callers") > threshold)
+def callers_of_rows(insn: DataFrame) -> DataFrame:
+    """The same, without a join, where the edges are just those of the rows."""
+    return insn.where("jump <> addr + len").select("image_id", F.col("jump").alias("addr"), F.col("addr").alias("caller"))
+
+
+def callsites(calls: DataFrame, threshold: int = 6) -> DataFrame:
+    """Nodes with more than ``threshold`` callers."""
+    return calls.groupBy(AT).agg(F.count(F.lit(1)).alias("callers")).where(F.col("callers") > threshold)
 
 
 def discard_edges(s: Superset) -> DataFrame:

@@ -250,7 +250,7 @@ def callers(spark, sf_dir):
 
 
 for _t in (0, 2, 6):
-    _register(f"callsites_t{_t}", _sql(f"SELECT image_id, addr, count(*) AS callers FROM caller GROUP BY ALL HAVING count(*) > {_t}"))(lambda spark, sf_dir, t=_t: relations.callsites(_live(spark, sf_dir), t))
+    _register(f"callsites_t{_t}", _sql(f"SELECT image_id, addr, count(*) AS callers FROM caller GROUP BY ALL HAVING count(*) > {_t}"))(lambda spark, sf_dir, t=_t: relations.callsites(relations.callers_of_rows(_live(spark, sf_dir).insn), t))
 
 
 @_register("fall_through_edges", _sql("SELECT e.image_id, e.src, e.dst FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.addr + i.len = e.dst"))

@@ -48,5 +48,11 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame
     return F.broadcast(df) if rows <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt over all cores, where a scan has fewer partitions than there are cores (one small file, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -62,7 +62,7 @@ def test_relations_match_kernel(spark, source):
     g, s = graph.tag(g).trim(), trimmed(source)
     for df, mask in (
         (relations.entries(s), g.entries()), (relations.fronds(s), g.fronds()), (relations.branches(s), g.branches()), (relations.conflict_set(s), g.conflicts(g.row)),
-        (relations.free_insns(s), g.free()), (relations.callsites(s, 0), g.callsites(0)), (relations.constants(s, decode(source)).select("image_id", F.col("value").alias("addr")), heuristics.constants(g)),
+        (relations.free_insns(s), g.free()), (relations.callsites(relations.callers(s), 0), g.callsites(0)), (relations.callsites(relations.callers_of_rows(s.insn), 0), g.callsites(0)), (relations.constants(s, decode(source)).select("image_id", F.col("value").alias("addr")), heuristics.constants(g)),
     ):
         assert pairs(df, "image_id", "addr") == nodes(ids, g, mask)
     assert pairs(relations.edge_list(s), "image_id", "src", "dst") == pairs(s.edge, "image_id", "src", "dst") | {(i, a, a) for i, a in nodes(ids, g, g.vertex & (g.in_degree() + g.out_degree() == 0))}
