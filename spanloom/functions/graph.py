@@ -279,6 +279,20 @@ def build(decoded: Decoded) -> Graph:
     return Graph(image, addr, spread(d.length), spread(d.valid, False), row, np.ones(n, bool), src, dst, np.zeros(n, bool), spread(d.defs), spread(d.uses), sizes[image] if n else addr, spread(d.kind, 4), spread(d.word, -1), spread(d.jump))
 
 
+def fixpoint(g: Graph, start: np.ndarray, transfer, merge=np.maximum, forward: bool = True, rounds: int | None = None) -> np.ndarray:
+    """A generic dataflow solver: values flow along edges (or against them), changed by transfer(values, nodes)
+    on leaving a node and merged on arrival by a ufunc, until nothing changes or ``rounds`` have passed."""
+    a, b = (g.src, g.dst) if forward else (g.dst, g.src)
+    now = start.copy()
+    while rounds is None or rounds > 0:
+        new = now.copy()
+        merge.at(new, b, transfer(now[a], a))
+        if (new == now).all():
+            break
+        now, rounds = new, None if rounds is None else rounds - 1
+    return now
+
+
 # ---------------------------------------------------------------- invariants
 
 

@@ -69,6 +69,8 @@ EXTRACTORS: dict[str, Extractor] = {
 }
 
 WEIGHTS = {"FixpointGrammar": 1, "Liveness": 1}
+#: Weights and threshold of the older generation.
+OLD_WEIGHTS, OLD_THRESHOLD = {"FixpointGrammar": 5, "FixpointFreevarSSA": 3}, 50
 DEFAULT_WEIGHT = 2
 
 
@@ -87,6 +89,15 @@ def trim_limited_clamped(g: Graph) -> Graph:
     return marked.with_(bad=marked.bad & ~spared)
 
 
+def trim_descendant_features(g: Graph, extract: Extractor, depth: int) -> Graph:
+    """From a clean slate, marks the bodies of what features lead to that are themselves led to, and spares
+    their lineage (the older generation's markers, with depth 10 for branches)."""
+    features = walks.descendant_features(g, extract(g), depth)
+    lineage = g.close(features, forward=True)
+    marked = g.with_(bad=np.zeros(g.n, bool)).mark_bodies(features)
+    return marked.with_(bad=marked.bad & ~lineage)
+
+
 MARKERS: dict[str, Marker] = {
     "Callsites3": lambda g: g.with_(bad=np.zeros(g.n, bool)),
     "ImgEntry": lambda g: g.mark_bodies(main_entry(g)),
@@ -102,6 +113,9 @@ def loop_contradictions(g: Graph, min_size: int = LOOP_SIZE) -> Graph:
     return g.mark(g.conflicts(keep) & parents & ~keep)
 
 
+#: Features that are listed for users; not all that are known.
+ALL_FEATURES = ("RestrictedClamped", "ExtendedClamped", "UnfilteredSCC", "SCC", "NoExit", "LoopsWithBreak", "Constant", "ImgEntry", "Clamped", "Callsites3", "LinearGrammar", "ClassicGrammar", "UnfilteredGrammar", "FixpointGrammar", "Liveness")
+
 ANALYSES: dict[str, Marker] = {
     "Strongly Connected Component Data": loop_contradictions,
     "Grammar convergent": walks.grammar_convergent,

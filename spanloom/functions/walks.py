@@ -200,6 +200,15 @@ def last_visited_clean(g: Graph, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def linear_sweep(g: Graph) -> np.ndarray:
+    """What a disassembler meets that starts at the first address and always goes on after each instruction."""
+    at = np.flatnonzero(g.row)
+    after = g.find(g.image[at], g.addr[at] + g.length[at])
+    kept = (after >= 0) & g.row[after]
+    chain = g.with_(src=at[kept], dst=after[kept], vertex=g.row, _next=None, _prev=None)
+    return chain.close(g.row & (g.addr == 1), forward=True)
+
+
 def topological(g: Graph) -> list[int]:
     """Vertices along control flow, each once; those on cycles come last."""
     first, near = g.succ

@@ -10,6 +10,44 @@ from .superset import Superset, body_bytes
 AT = ["image_id", "addr"]
 
 
+# ---------------------------------------------------------------- lookups
+
+
+def lookup(s: Superset, wanted: DataFrame) -> DataFrame:
+    """Rows of the map at the wanted (image_id, addr); null where there is none."""
+    return wanted.join(s.insn, AT, "left")
+
+
+def members(s: Superset, wanted: DataFrame) -> DataFrame:
+    """The wanted that are vertices of the graph."""
+    return wanted.join(s.vertex, AT, "left_semi")
+
+
+def contained(segment: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted that lie in a segment (image_id, low, high) of their image."""
+    of = segment.select(F.col("image_id").alias("of"), "low", "high")
+    return wanted.join(of, (F.col("image_id") == F.col("of")) & F.col("addr").between(F.col("low"), F.col("high")), "left_semi")
+
+
+def connected(s: Superset, pairs: DataFrame) -> DataFrame:
+    """The (image_id, src, dst) that are edges."""
+    return pairs.join(s.edge, ["image_id", "src", "dst"], "left_semi")
+
+
+def successors(s: Superset, of: DataFrame) -> DataFrame:
+    return s.edge.join(of.withColumnRenamed("addr", "src"), ["image_id", "src"], "left_semi")
+
+
+def predecessors(s: Superset, of: DataFrame) -> DataFrame:
+    return s.edge.join(of.withColumnRenamed("addr", "dst"), ["image_id", "dst"], "left_semi")
+
+
+def false_branches(s: Superset, truth: DataFrame) -> DataFrame:
+    """(image_id, addr, after): branches that are no ground truth, with their fall-through successors."""
+    wrong = branches(s).join(truth, AT, "left_anti").withColumnRenamed("addr", "src")
+    return fall_through_edges(s).join(wrong, ["image_id", "src"], "left_semi").select("image_id", F.col("src").alias("addr"), F.col("dst").alias("after"))
+
+
 # ---------------------------------------------------------------- overlaps
 
 

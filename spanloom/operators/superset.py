@@ -114,6 +114,17 @@ class Superset:
         return Superset(self.insn, self.edge.join(edges, ["image_id", "src", "dst"], "left_anti"), self.vertex, self.bad)
 
 
+def empty(spark) -> Superset:
+    """No images: every membership test is false."""
+    none = spark.createDataFrame([], "image_id long, addr long")
+    return Superset(spark.createDataFrame([], ROW), spark.createDataFrame([], "image_id long, src long, dst long"), none, none)
+
+
+def next_chunk(images: DataFrame, addr: int) -> DataFrame:
+    """What is left of each image after an address."""
+    return images.select("image_id", F.substring("bytes", addr + 1, 1 << 30).alias("bytes")).where(F.octet_length("bytes") > 0)
+
+
 def edges_of(insn: DataFrame) -> DataFrame:
     """Each known target once; a jump to the fall-through is one edge."""
     targets = F.array_compact(F.array("fall", F.when(~F.col("jump").eqNullSafe(F.col("fall")), F.col("jump"))))

@@ -398,6 +398,12 @@ def liveness_addrs(spark, sf_dir):
     return metrics.node_sets(images.documents(spark, sf_dir), heuristics.liveness)
 
 
+@_register("linear_sweep", _sql("SELECT image_id, addr FROM sweep", "scan", extra=""", 
+sweep AS (SELECT image_id, addr FROM insn WHERE addr = 1 UNION SELECT i.image_id, i.addr FROM sweep s JOIN insn p ON p.image_id = s.image_id AND p.addr = s.addr JOIN insn i ON i.image_id = p.image_id AND i.addr = p.addr + p.len)""", corpus="conversations"))
+def linear_sweep(spark, sf_dir):
+    return metrics.node_sets(images.conversations(spark, sf_dir), walks.linear_sweep, prepared=False)
+
+
 # Loops: mutual reachability is too large for SQL on whole tables; tests hold these against brute force.
 
 
@@ -434,6 +440,7 @@ for _name, _of in {
     "identify_branches": walks.identify_branches,
     "grammar_convergent": lambda g: walks.grammar_convergent(g.mark(g.conflicts(g.row))).bad,
     "descendant_features": lambda g: walks.descendant_features(g, g.branches(), 2),
+    "trim_branch_descendants": lambda g: heuristics.trim_descendant_features(g, lambda x: x.branches(), 10).bad,
     "running_evidence": lambda g: walks.running_evidence(g, 2 * g.branches().astype(int)) > 20,
 }.items():
     _register(_name)(lambda spark, sf_dir, of=_of: metrics.node_sets(images.documents(spark, sf_dir), of))
@@ -497,6 +504,25 @@ def truth_counts(spark, sf_dir):
     return metrics.truth_counts(s.insn, s.vertex, _truth(spark, sf_dir))
 
 
+@_register("truth_closure", _sql("SELECT image_id, addr FROM c", extra=_TRUTH + _closure("c", "SELECT image_id, addr FROM truth SEMI JOIN live USING (image_id, addr)", True)))
+def truth_closure(spark, sf_dir):
+    """What the surviving ground truth reaches."""
+
+    def step(g):
+        from spanloom.functions import graph
+
+        truth = g.close(metrics.entrances_of(g), forward=True)
+        return graph.tag(g).trim().close(truth, forward=True)
+
+    return metrics.node_sets(images.documents(spark, sf_dir), step, prepared=False)
+
+
+@_register("false_branches", _sql("""SELECT e.image_id, e.src AS addr, e.dst AS after FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr SEMI JOIN (SELECT image_id, addr FROM deg WHERE out_ >= 2) b ON e.image_id = b.image_id AND e.src = b.addr
+ANTI JOIN truth ON e.image_id = truth.image_id AND e.src = truth.addr WHERE i.addr + i.len = e.dst""", extra=_TRUTH))
+def false_branches(spark, sf_dir):
+    return relations.false_branches(_live(spark, sf_dir), _truth(spark, sf_dir))
+
+
 @_register("occlusion", _sql("""SELECT t.image_id, sum(coalesce(len, 0))::BIGINT AS occlusive_space, coalesce(any_value(k), 0)::BIGINT AS reduced_occlusion FROM truth t LEFT JOIN live i USING (image_id, addr)
 LEFT JOIN (SELECT c.image_id, count(*) AS k FROM lconf c SEMI JOIN truth x ON c.image_id = x.image_id AND c.owner = x.addr GROUP BY c.image_id) q ON q.image_id = t.image_id GROUP BY t.image_id""", extra=_TRUTH))
 def occlusion(spark, sf_dir):

@@ -37,6 +37,11 @@ def from_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select(F.xxhash64("path").alias("image_id"), F.col("content").alias("bytes"), "path", F.col("length").alias("n_bytes"))
 
 
+def image_table(images: DataFrame, isa: str = "t8") -> DataFrame:
+    """What is known of each image.  The byte order is not recorded."""
+    return images.select("image_id", F.lit(isa).alias("arch"), F.lit(None).cast("string").alias("endian"), F.lit(1).cast("long").alias("main_entry"), F.octet_length("bytes").cast("long").alias("n_bytes"))
+
+
 def segments(images: DataFrame, at: str | None = None) -> DataFrame:
     """(image_id, seg_id, low, high): one executable segment per image, or two halves."""
     n = F.octet_length("bytes").cast("long")

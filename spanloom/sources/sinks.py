@@ -76,6 +76,11 @@ class Cache:
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def scatter(metrics: DataFrame, x: str, y: str) -> DataFrame:
+    """Points to plot, of images that have both metrics."""
+    return metrics.select("image_id", F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+
+
 def corpus_rollup(metrics: DataFrame, compat: bool = False) -> DataFrame:
     """Totals over images that have every metric.  compat: the mean occlusive space sums false negatives."""
     whole = metrics.dropna()

@@ -272,3 +272,18 @@ def test_t8_against_plain_rules(seed):
             if d.has_jump[at]:
                 assert d.jump[at] == addr + length + b * 37 % 41 - 20
             at += 1
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_generic_fixpoint_and_linear_sweep(seed):
+    edges, g = random_graph(random.Random(2000 + seed))
+    nodes = g.addr.tolist()
+    # The largest address that reaches each node, itself included.
+    got = graph.fixpoint(g, g.addr.copy(), lambda values, _: values)
+    assert dict(zip(nodes, got.tolist())) == {v: max(reach(edges, [v], False)) for v in nodes}
+    length = dict(zip(nodes, g.length.tolist()))
+    want, at = set(), 1
+    while at in length:
+        want.add(at)
+        at += length[at]
+    assert addrs(g, walks.linear_sweep(g)) == want
