@@ -237,10 +237,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one that names it (of repeated rows, one).  Documents with
-    a null id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id")
-    named = found.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(gone.join(named, "doc_id", "left_anti").distinct(), "doc_id", "left_anti")
+    """One document of each group stays: the one with the least id (of repeated rows, one).  Groups are the
+    components within four bits, and then near copies among those that name a component, found by several
+    fingerprints.  Documents with a null id stay."""
+    from .similar import near_copies
+
+    found = cut(near_duplicates(docs).where("doc_id IS NOT NULL"))
+    named = found.where("doc_id = component_id").select("doc_id").distinct()
+    copies = near_copies(docs, named).where("doc_id <> root").select("doc_id")
+    gone = found.where("doc_id <> component_id").select("doc_id").join(named, "doc_id", "left_anti").unionByName(copies).distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
     return kept.withColumn("same", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "same"]).drop("same")
