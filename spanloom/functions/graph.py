@@ -314,6 +314,7 @@ def target_in_body(g: Graph) -> np.ndarray:
     return g.mask(g.src[(b > a) & (b < a + g.length[g.src])])
 
 
+#: The names by which users choose invariants.
 INVARIANTS = {
     "Tag non insn": non_insn,
     "Tag target not in mem": target_not_in_mem,

@@ -14,6 +14,7 @@ import numpy as np
 from . import walks
 from .graph import INVARIANTS, Graph, tag
 
+#: A large loop has more members than this; a callsite more callers.
 LOOP_SIZE = 20
 CALLSITE_THRESHOLD = 6
 
@@ -50,6 +51,7 @@ def liveness(g: Graph) -> np.ndarray:
     return g.vertex & (g.live_in() != 0)
 
 
+#: The names by which users choose heuristics, here and below.
 EXTRACTORS: dict[str, Extractor] = {
     "FixpointGrammar": lambda g: g.branches(),
     "Liveness": liveness,
@@ -68,8 +70,9 @@ EXTRACTORS: dict[str, Extractor] = {
     "ImgEntry": main_entry,
 }
 
+#: Points of evidence by feature.
 WEIGHTS = {"FixpointGrammar": 1, "Liveness": 1}
-#: Weights and threshold of the older generation.
+#: Weights and threshold of the older generation.
 OLD_WEIGHTS, OLD_THRESHOLD = {"FixpointGrammar": 5, "FixpointFreevarSSA": 3}, 50
 DEFAULT_WEIGHT = 2
 
