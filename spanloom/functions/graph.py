@@ -20,6 +20,13 @@ def csr(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(a[order], np.arange(n + 1)), b[order]
 
 
+def once(nodes: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+    """Each node once.  scratch: room for a number by node; what it holds does not matter."""
+    order = np.arange(len(nodes))
+    scratch[nodes] = order
+    return nodes[scratch[nodes] == order]
+
+
 @dataclass
 class Graph:
     image: np.ndarray
@@ -91,7 +98,7 @@ class Graph:
         """seeds (a mask) and all that they reach (forward) or that reaches them, within the graph."""
         first, near = self.succ if forward else self.pred
         found = seeds & self.vertex
-        edge = np.flatnonzero(found)
+        edge, scratch = np.flatnonzero(found), np.empty(self.n, np.int64)
         while len(edge):
             n = first[edge + 1] - first[edge]
             total = int(n.sum())
@@ -99,9 +106,9 @@ class Graph:
                 break
             at = np.repeat(first[edge] - (np.cumsum(n) - n), n) + np.arange(total)
             new = near[at]
-            new = np.unique(new[~found[new]])
+            new = new[~found[new]]
             found[new] = True
-            edge = new
+            edge = once(new, scratch)
         return found
 
     def keep(self, stay: np.ndarray) -> Graph:
@@ -177,16 +184,12 @@ class Graph:
     def components(self) -> np.ndarray:
         """For each vertex on a cycle, or alone: the least node of its component."""
         label = np.arange(self.n)
-        live = self.vertex.copy()
-        # Peel off what lies on no cycle before walking.
-        src, dst = self.src, self.dst
-        while True:
-            core = live & (np.bincount(src, minlength=self.n) > 0) & (np.bincount(dst, minlength=self.n) > 0)
-            inside = core[src] & core[dst]
-            if core.sum() == live.sum() and inside.all():
-                break
-            live, src, dst = core, src[inside], dst[inside]
-        first, near = csr(self.n, src, dst)
+        # Peel off what lies on no cycle before walking: first what leads nowhere, then what nothing leads to.
+        live = self._peeled(self.vertex, self.src, self.pred)
+        inside = live[self.src] & live[self.dst]
+        live = self._peeled(live, self.dst[inside], csr(self.n, self.src[inside], self.dst[inside]))
+        inside = live[self.src] & live[self.dst]
+        first, near = csr(self.n, self.src[inside], self.dst[inside])
         order, low, on, stack, count = {}, {}, set(), [], 0
         first, near = first.tolist(), near.tolist()
         for root in np.flatnonzero(live).tolist():
@@ -224,6 +227,23 @@ class Graph:
                     label[members] = min(members)
         return label
 
+    @staticmethod
+    def _peeled(live: np.ndarray, ends: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Without nodes that have no edge left, counted in ``ends``, when those before them are gone; lists: whose
+        edges a node takes along when it goes."""
+        first, near = lists
+        left = np.bincount(ends, minlength=len(live))
+        now = np.flatnonzero(live & (left == 0))
+        live, scratch = live.copy(), np.empty(len(live), np.int64)
+        while len(now):
+            live[now] = False
+            n = first[now + 1] - first[now]
+            at = np.repeat(first[now] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            touched = near[at]
+            np.subtract.at(left, touched, 1)
+            now = once(touched[live[touched] & (left[touched] == 0)], scratch)
+        return live
+
     def loops(self, min_size: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(label, mask): components with more than ``min_size`` members."""
         label = self.components()
@@ -249,15 +269,19 @@ class Graph:
 def build(decoded: Decoded) -> Graph:
     """Graph of all candidates: every offset and every known target is a vertex."""
     d = decoded
-    offset = np.arange(len(d.addr))
-    out_fall = np.flatnonzero(d.has_fall & (d.fall > d.size))
-    out_jump = np.flatnonzero(d.has_jump & ((d.jump < 1) | (d.jump > d.size)))
-    image = np.concatenate([d.image, d.image[out_fall], d.image[out_jump]])
-    addr = np.concatenate([d.addr, d.fall[out_fall], d.jump[out_jump]])
-    key, index = np.unique(Graph._key(image, addr), return_index=True)
-    image, addr = image[index], addr[index]
-    n = len(key)
-    at = np.searchsorted(key, Graph._key(d.image, d.addr))
+    inner = Graph._key(d.image, d.addr)
+    # A jump to the fall-through is no second edge.
+    has_jump = d.has_jump & ~(d.has_fall & (d.jump == d.fall))
+    sides = [(np.flatnonzero(has), target[has]) for has, target in ((d.has_fall, d.fall), (has_jump, d.jump))]
+    beyond = [(to < 1) | (to > d.size[at]) for at, to in sides]
+    outer = np.unique(np.concatenate([Graph._key(d.image[at][far], to[far]) for (at, to), far in zip(sides, beyond)]))
+    # Offsets are in order already; the few targets outside are put between them.
+    at = np.arange(len(inner)) + np.searchsorted(outer, inner)
+    out_at = np.searchsorted(inner, outer) + np.arange(len(outer))
+    n = len(inner) + len(outer)
+    key = np.empty(n, np.int64)
+    key[at], key[out_at] = inner, outer
+    image, addr = key >> 40, (key & (1 << 40) - 1) - (1 << 20)
     row = np.zeros(n, bool)
     row[at] = True
 
@@ -266,14 +290,13 @@ def build(decoded: Decoded) -> Graph:
         out[at] = values
         return out
 
-    def edges(has: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        which = offset[has]
-        return at[which], np.searchsorted(key, Graph._key(d.image[which], target[which]))
-
-    src, dst = (np.concatenate(x) for x in zip(edges(d.has_fall, d.fall), edges(d.has_jump, d.jump)))
-    if len(src):
-        both = np.unique(src.astype(np.int64) << 32 | dst)
-        src, dst = both >> 32, both & (1 << 32) - 1
+    ends = []
+    for (own, to), far in zip(sides, beyond):
+        node = np.empty(len(own), np.int64)
+        node[~far] = at[(own + to - d.addr[own])[~far]]
+        node[far] = out_at[np.searchsorted(outer, Graph._key(d.image[own][far], to[far]))]
+        ends.append((at[own], node))
+    src, dst = (np.concatenate(x) for x in zip(*ends))
     sizes = np.zeros(int(image.max()) + 1 if n else 0, np.int64)
     sizes[d.image] = d.size
     return Graph(image, addr, spread(d.length), spread(d.valid, False), row, np.ones(n, bool), src, dst, np.zeros(n, bool), spread(d.defs), spread(d.uses), sizes[image] if n else addr, spread(d.kind, 4), spread(d.word, -1), spread(d.jump))

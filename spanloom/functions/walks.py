@@ -161,8 +161,11 @@ def running_evidence(g: Graph, weight: np.ndarray, roots: np.ndarray | None = No
     """Evidence summed up along forward walks from fronds: a node with evidence gets all that its walk has met."""
     out = weight.copy()
     seen: set[int] = set()
-    walker = Walker(g, forward=True)
-    for root in _indices(g.fronds() if roots is None else roots):
+    # What leads to no evidence neither gives nor gets any, and need not be walked.
+    useful = g.close(weight > 0, forward=False)
+    inside = useful[g.src] & useful[g.dst]
+    walker = Walker(g.with_(src=g.src[inside], dst=g.dst[inside], _next=None, _prev=None), forward=True)
+    for root in _indices((g.fronds() if roots is None else roots) & useful):
         total = 0
         for entered, node in walker.walk([root], seen):
             if entered and weight[node]:
