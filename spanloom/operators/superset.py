@@ -57,22 +57,28 @@ def per_image(images: DataFrame, step: Callable[[Graph], dict[str, np.ndarray]],
     return images.select(F.col("image_id").cast("long"), F.col("bytes").cast("binary")).mapInArrow(run, f"image_id long, {schema}")
 
 
-def rows_of(g: Graph) -> dict[str, np.ndarray]:
+_ROW_FIELDS = ROW.removeprefix("image_id long, ")
+_FALLS, _JUMPS = np.isin(range(len(isa.KINDS)), (isa.COND, isa.CALL, isa.SEQ)), np.isin(range(len(isa.KINDS)), (isa.JMP, isa.COND, isa.CALL))
+
+#: How each field of a row is read off the nodes at some places.
+_FIELDS: dict[str, Callable[[Graph, np.ndarray], object]] = {
+    "addr": lambda g, at: g.addr[at],
+    "len": lambda g, at: g.length[at].astype(np.int32),
+    "valid": lambda g, at: g.valid[at],
+    "kind": lambda g, at: pa.DictionaryArray.from_arrays(pa.array(g.kind[at].astype(np.int8)), pa.array(isa.KINDS)).cast(pa.string()),
+    "fall": lambda g, at: pa.array(g.addr[at] + g.length[at], mask=~_FALLS[g.kind[at]]),
+    "jump": lambda g, at: pa.array(g.jump[at], mask=~_JUMPS[g.kind[at]]),
+    "n": lambda g, at: g.size[at],
+    "word": lambda g, at: g.word[at],
+    "defs": lambda g, at: g.defs[at].astype(np.int32),
+    "uses": lambda g, at: g.uses[at].astype(np.int32),
+}
+
+
+def rows_of(g: Graph, fields: tuple[str, ...] = tuple(_FIELDS)) -> dict[str, object]:
     """The instruction map as columns."""
     at = np.flatnonzero(g.row)
-    kind = g.kind[at]
-    valid = g.valid[at]
-    has_fall = np.isin(kind, (isa.COND, isa.CALL, isa.SEQ))
-    fall = g.addr[at] + g.length[at]
-    has_jump = np.isin(kind, (isa.JMP, isa.COND, isa.CALL))
-    jump = g.jump[at]
-    return {
-        "image": g.image[at], "addr": g.addr[at], "len": g.length[at].astype(np.int32), "valid": valid, "kind": pa.DictionaryArray.from_arrays(pa.array(kind.astype(np.int8)), pa.array(isa.KINDS)).cast(pa.string()),
-        "fall": pa.array(fall, mask=~has_fall), "jump": pa.array(jump, mask=~has_jump), "n": g.size[at], "word": g.word[at], "defs": g.defs[at].astype(np.int32), "uses": g.uses[at].astype(np.int32),
-    }
-
-
-_ROW_FIELDS = ROW.removeprefix("image_id long, ")
+    return {"image": g.image[at], **{f: _FIELDS[f](g, at) for f in fields}}
 
 
 @dataclass(frozen=True)
@@ -158,6 +164,12 @@ def scan(images: DataFrame, decoder: str = "t8") -> Superset:
     return Superset(insn, edges_of(insn), vertex, vertex.limit(0))
 
 
+def trimmed_rows(images: DataFrame, fields: tuple[str, ...], decoder: str = "t8", invariants: tuple[str, ...] = tuple(graph.INVARIANTS)) -> DataFrame:
+    """The map after trimming, with only the fields asked for: columns are pruned before they leave Python."""
+    of = {f.split()[0]: f for f in _ROW_FIELDS.split(", ")}
+    return per_image(images, lambda g: rows_of(graph.tag(g, invariants).trim(), fields), ", ".join(of[f] for f in fields), decoder)
+
+
 def _trimmed(invariants: tuple[str, ...]) -> Callable[[Graph], dict[str, np.ndarray]]:
     return lambda g: rows_of(graph.tag(g, invariants).trim())
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import heuristics, walks
 from spanloom.functions.heuristics import Options
 from spanloom.operators import closure, invariants, metrics, relations, work
-from spanloom.operators.superset import Superset, body_bytes, decode, scan, trimmed
+from spanloom.operators.superset import Superset, body_bytes, decode, scan, trimmed, trimmed_rows
 from spanloom.sources import images, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,7 +100,7 @@ def _live(spark: SparkSession, sf_dir: str, corpus: str = "documents") -> Supers
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors per image after decoding, tagging and trimming."""
-    return _live(spark, sf_dir).insn.groupBy("image_id").agg(F.count(F.lit(1)).alias("survivors"), F.sum("len").alias("len_sum"))
+    return trimmed_rows(images.documents(spark, sf_dir), ("len",)).groupBy("image_id").agg(F.count(F.lit(1)).alias("survivors"), F.sum("len").alias("len_sum"))
 
 
 _register("trim_summary", _sql("SELECT image_id, count(*) AS survivors, sum(len)::BIGINT AS len_sum FROM live GROUP BY image_id"))(flagship)
@@ -180,7 +180,7 @@ def tagged(spark, sf_dir):
 
 @_register("trim", _sql("SELECT image_id, addr, len, kind FROM live"))
 def trim(spark, sf_dir):
-    return _live(spark, sf_dir).insn.select("image_id", "addr", "len", "kind")
+    return trimmed_rows(images.documents(spark, sf_dir), ("addr", "len", "kind"))
 
 
 @_register("trim_by_joins", _sql("SELECT image_id, addr FROM vertex ANTI JOIN dead USING (image_id, addr)", corpus="conversations"))
@@ -250,7 +250,7 @@ def callers(spark, sf_dir):
 
 
 for _t in (0, 2, 6):
-    _register(f"callsites_t{_t}", _sql(f"SELECT image_id, addr, count(*) AS callers FROM caller GROUP BY ALL HAVING count(*) > {_t}"))(lambda spark, sf_dir, t=_t: relations.callsites(relations.callers_of_rows(_live(spark, sf_dir).insn), t))
+    _register(f"callsites_t{_t}", _sql(f"SELECT image_id, addr, count(*) AS callers FROM caller GROUP BY ALL HAVING count(*) > {_t}"))(lambda spark, sf_dir, t=_t: relations.callsites(relations.callers_of_rows(trimmed_rows(images.documents(spark, sf_dir), ("addr", "len", "jump"))), t))
 
 
 @_register("fall_through_edges", _sql("SELECT e.image_id, e.src, e.dst FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.addr + i.len = e.dst"))
@@ -285,7 +285,7 @@ def induced_subgraph(spark, sf_dir):
 
 @_register("conflicts", _sql("SELECT image_id, owner, addr FROM lconf"))
 def conflicts(spark, sf_dir):
-    return relations.conflicts(_live(spark, sf_dir).insn)
+    return relations.conflicts(trimmed_rows(images.documents(spark, sf_dir), ("addr", "len")))
 
 
 @_register("conflicts_all", _sql("SELECT image_id, addr FROM cset"))
