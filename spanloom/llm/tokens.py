@@ -15,11 +15,13 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +36,10 @@ ORACLE_SQL = None
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 #: Entries of a worker's cache; it starts anew when full.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_500_000
 
 #: Fixed value: how the word tokenizer splits normalised text.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
 #: Characters whose normalisation (NFC, lower case) is the same everywhere; U+0130 lower-cases to two.
 UNSAFE = r"[^\t\n\r\x20-\x7e¡-¬®-įı-ſ]|<\|"
 
@@ -48,6 +50,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def _range(kind: str) -> str:
+    """The characters up to Latin Extended-A of a general category, as the inside of a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(0x180)) if unicodedata.category(c).startswith(kind))
+
+
+SPLIT = re.compile(PRE_TOKEN.format(L=_range("L"), N=_range("N")))
+_UNSAFE = re.compile(UNSAFE)
+
+
 class Counter:
     def __init__(self, path: str, common: dict[str, int], capacity: int = CACHE_ENTRIES) -> None:
         from tokenizers import Tokenizer
@@ -56,11 +67,19 @@ class Counter:
         self.library.no_padding()
         self.library.no_truncation()
         self.common, self.capacity, self.cache = common, capacity, dict(common)
-        self.split, self.unsafe = regex.compile(PRE_TOKEN).findall, regex.compile(UNSAFE).search
+        self.split, self.unsafe = SPLIT.findall, _UNSAFE.search
 
     def whole(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False))
 
+    def lengths(self, pre_tokens: list[str]) -> list[int]:
+        """Tokens of each pre-token: all are encoded as one text, with a space between, and told apart by the
+        library's word numbers; one by one should it ever split them otherwise."""
+        found = [i for i in self.library.encode(" ".join(pre_tokens), add_special_tokens=False).word_ids if i is not None]
+        if found and found[-1] == len(pre_tokens) - 1:
+            return np.bincount(found, minlength=len(pre_tokens)).tolist()
+        return [self.whole(x) for x in pre_tokens]
+
     def count(self, text: str) -> int:
         if self.unsafe(text):
             return self.whole(text)
@@ -73,15 +92,11 @@ class Counter:
         if len(cache) > len(self.common) + self.capacity:
             cache = self.cache = dict(self.common)
         missing = [x for x in dict.fromkeys(found) if x not in cache]
-        for at in range(0, len(missing), 1000):
-            part = missing[at : at + 1000]
-            cache.update(zip(part, (len(e) for e in self.library.encode_batch(part, add_special_tokens=False))))
+        for at in range(0, len(missing), 500):
+            cache.update(zip(part := missing[at : at + 500], self.lengths(part)))
         return sum([cache[x] for x in found])
 
 
-_PLAIN = regex.compile(rf"(?:{PRE_TOKEN})").fullmatch
-
-
 def common_lengths(path: str) -> dict[str, int]:
     """The vocabulary's whole words that are a pre-token by themselves, each of one token."""
     import json
@@ -90,7 +105,7 @@ def common_lengths(path: str) -> dict[str, int]:
         model = json.load(f)["model"]
     end = model["end_of_word_suffix"]
     words = (x.removesuffix(end) for x in model["vocab"] if x.endswith(end))
-    return {x: 1 for x in words if x.isascii() and x == x.lower() and _PLAIN(x)}
+    return {x: 1 for x in words if x.isascii() and x == x.lower() and SPLIT.fullmatch(x)}
 
 
 #: One counter for each vocabulary in a worker, so that its cache outlives the task.
