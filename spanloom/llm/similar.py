@@ -1,14 +1,19 @@
-"""Near copies of lower similarity: several SimHash fingerprints with Golay keys, verified by all their bits.
+"""Near copies of lower similarity: texts whose five-word shingle sets overlap by 0.8, found exactly.
 
 Texts whose five-word shingles overlap by 0.8 differ in six to ten of 64 SimHash bits, beyond what keys for
-four bits can promise.  Here a text has a signature of TABLES words of 35 bits, drawn from the set of its
-two-word shingles, which a scattered edit disturbs less.  A table's key is 12 exact bits and one near index
-of 23 more; the Golay code makes two words within two bits share one, so a pair at similarity 0.8 meets in
-about one of six tables.  Each key's members are compared with its least member only, so no group is paired
-out, and a pair is a link where at most a share LIMIT of all signature bits differ.  For larger corpora more
-exact bits keep keys apart (one more for each doubling beyond EXACT_ROWS), at the price of recall.
-
-Defined cases: texts without words and null ids take no part; repeated ids are one node.
+four bits can promise.  Here a text's distinct shingles are put into one order that all texts share.  Two sets
+with a Jaccard overlap of 0.8 then have a shingle in common among the first fifth (and one more) of each, so
+these are a text's keys.  Every pair that shares a key is compared, whatever the size of the input; the first
+shingle they share tells from its places how large the overlap can be at most, and pairs that can reach 0.8
+are verified by their whole sets.  Shingles that a sample of texts shows to be common go last in the order:
+that keeps keys small and changes no result, as any order serves.
+
+As in op6, stars come first: members of a key are compared with its least member.  Then the members of keys
+that still hold several components are compared with each other inside the join, so a large group of near
+copies is not paired out.
+
+Defined cases: a text of fewer than five words has one shingle, the whole sequence; texts without words and
+null ids take no part; repeated ids are one node.  Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -17,111 +22,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.runtime import cut, release, ship
 
 from .components import components
-from .simhash import Golay, majority
 from .text import LOWER, hash_spans, mix, odd_constants, pieces, raw, words
 
-TABLES, NEAR, EXACT, MORE = 12, 23, 12, 12
-EXACT_ROWS = 1 << 20
-#: A table has room for MORE further exact bits.
-TABLE_BITS = NEAR + EXACT
-SIGNATURE = -(-TABLES * TABLE_BITS // 64)
-#: At similarity 0.8 of five-word shingles about a tenth of the bits differ; of unrelated texts nearly half.
-LIMIT = 0.115
+SHINGLE_WORDS = 5
+#: The least Jaccard overlap of a link is PART / WHOLE.
+PART, WHOLE = 4, 5
+#: Texts sampled for common shingles, and the share (and number) of them that makes a shingle common.
+SAMPLE_ROWS, COMMON_SHARE, COMMON_LEAST = 20_000, 1 / 500, 8
 
 
-def signatures(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which texts have words, their signatures), a row of SIGNATURE 64-bit words each."""
+def shingle_sets(data: bytes, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of all texts' distinct shingles in order; common: sorted shingles that go last."""
     data = data.translate(LOWER)
     w = words(data, offsets)
-    h = hash_spans(data, w.start, w.end, 2)
-    pair = h * odd_constants(2, 21)[0]
-    doc = w.doc
-    # A text's last word pairs with nothing; it stands alone only where it is the only one.
-    inner = np.append(doc[1:] == doc[:-1], False) if len(doc) else np.zeros(0, bool)
-    pair[:-1] += np.where(inner[:-1], h[1:] * odd_constants(2, 21)[1], np.uint64(0))
-    kept = inner | (w.counts[doc] == 1)
-    pair, doc = mix(pair[kept]), doc[kept]
-    order = np.lexsort((pair, doc))
-    pair, doc = pair[order], doc[order]
-    new = np.ones(len(pair), bool)
-    new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-    pair, doc = pair[new], doc[new]
-    per_doc = np.bincount(doc, minlength=len(offsets) - 1)
-    drawn = [majority(mix(pair + c), per_doc) for c in odd_constants(SIGNATURE, 22)]
-    has = np.flatnonzero(per_doc)
-    return has, np.stack([x[has] for x in drawn], axis=1)
-
-
-def _bits(sig: np.ndarray, start: int, n: int) -> np.ndarray:
-    """Bits start to start + n of each signature, around its end."""
-    at, shift = start // 64 % SIGNATURE, start % 64
-    low = sig[:, at] >> np.uint64(shift)
-    if shift + n > 64:
-        low |= sig[:, (at + 1) % SIGNATURE] << np.uint64(64 - shift)
-    return (low & np.uint64((1 << n) - 1)).astype(np.int64)
-
-
-def _keys(sig: np.ndarray, golay: Golay, exact: int) -> tuple[np.ndarray, np.ndarray]:
-    rows, keys = [], []
-    for t in range(TABLES):
-        near = golay.near(_bits(sig, TABLE_BITS * t, NEAR), NEAR)
-        # Further exact bits are borrowed from the next table.
-        same = _bits(sig, TABLE_BITS * t + NEAR, exact)
-        r, c = np.nonzero(near >= 0)
-        rows.append(r)
-        keys.append(t << 48 | same[r] << 12 | near[r, c])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, sig of texts with words."""
+    h, doc = hash_spans(data, w.start, w.end, 2), w.doc
+    place = np.arange(len(h)) - w.first[doc]
+    left = w.counts[doc] - place
+    shingle = np.zeros(len(h), np.uint64)
+    for k, c in enumerate(odd_constants(SHINGLE_WORDS, 23)[: len(h)]):
+        shingle[: len(h) - k] += np.where(left[: len(h) - k] > k, h[k:] * c, np.uint64(0))
+    kept = (left >= SHINGLE_WORDS) | (place == 0)
+    shingle, doc = mix(shingle[kept]), doc[kept]
+    last = common[np.minimum(np.searchsorted(common, shingle), len(common) - 1)] == shingle if len(common) else np.zeros(len(shingle), bool)
+    order = np.lexsort((shingle, last, doc))
+    shingle, doc = shingle[order], doc[order]
+    new = np.ones(len(shingle), bool)
+    new[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], shingle[new]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
+    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted shingles that many of the sampled texts hold.  n: how many texts there are."""
+    one_of = max(1, n // SAMPLE_ROWS)
+    least = max(COMMON_LEAST, int(n / one_of * COMMON_SHARE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                found, times = np.unique(shingle_sets(*raw(part.column("text")), np.zeros(0, np.uint64))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
+
+    sample = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
+    rows = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key").collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+
+
+def keyed(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """key, a, n, at: a text's first shingles, how many it has, and the key's place in their order."""
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                has, sig = signatures(*raw(part.column("text")))
-                values = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * SIGNATURE), pa.array(sig.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(has)), values], ["doc_id", "sig"])
+                doc, shingle = shingle_sets(*raw(part.column("text")), held.value)
+                n = np.bincount(doc, minlength=part.num_rows)
+                at = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+                n = n[doc]
+                kept = at <= n - -(-PART * n // WHOLE)
+                columns = [pa.array(shingle[kept].view(np.int64)), part.column("doc_id").take(pa.array(doc[kept])), pa.array(n[kept].astype(np.int32)), pa.array(at[kept].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "a", "n", "at"])
 
-    kept = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return kept.mapInArrow(run, "doc_id long, sig array<long>")
+    return _texts(docs).mapInArrow(run, "key long, a long, n int, at int")
 
 
-def _keyed(sigs: DataFrame, exact: int) -> DataFrame:
+def shingled(docs: DataFrame) -> DataFrame:
+    """doc_id, shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                sig = part.column("sig").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SIGNATURE)
-                row, key = _keys(sig, golay, exact)
-                yield pa.RecordBatch.from_arrays([pa.array(key), part.column("doc_id").take(pa.array(row))], ["key", "a"])
-
-    return sigs.mapInArrow(run, "key long, a long")
-
-
-def similar_links(sigs: DataFrame) -> DataFrame:
-    """(a, b): verified links from members of a key to its least member."""
-    n = sigs.count()
-    exact = EXACT + min(MORE, max(0, (n // EXACT_ROWS).bit_length()))
-    keyed = _keyed(sigs, exact)
-    heads = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = keyed.join(heads, "key").where("a <> b").select("a", "b").distinct()
+            for part in pieces(batch, "text"):
+                doc, shingle = shingle_sets(*raw(part.column("text")), np.zeros(0, np.uint64))
+                ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))], ["doc_id", "shingles"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _enough(shared: Column, n_a: Column, n_b: Column) -> Column:
+    return shared * (PART + WHOLE) >= (n_a + n_b) * PART
+
+
+def _may() -> Column:
+    """Whether a and b can overlap enough if the key is the first shingle they share; it is for one key of each pair that does."""
+    return _enough(F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")), F.col("n"), F.col("n_b"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets overlap enough.  Only texts of pairs are read again."""
+    pairs = cut(pairs.distinct())
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = cut(shingled(docs.join(ids, "doc_id", "left_semi")))
     for end in ("a", "b"):
-        met = met.join(sigs.select(F.col("doc_id").alias(end), F.col("sig").alias(f"sig_{end}")), end)
-    apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    return met.where(apart <= int(LIMIT * SIGNATURE * 64)).select("a", "b").distinct()
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+    found = cut(pairs.where(_enough(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b").distinct())
+    release(docs.sparkSession)
+    return found
+
+
+def similar_links(docs: DataFrame) -> DataFrame:
+    """(a, b): links that join all texts of enough overlap; every link is verified."""
+    rows = keyed(docs, common_shingles(docs, docs.count()))
+    heads = rows.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").drop("most")
+    shared = cut(rows.join(heads, "key"))
+    release(docs.sparkSession)
+    firsts = shared.where("a = b").select("key", F.col("n").alias("n_b"), F.col("at").alias("at_b"))
+    stars = verified(shared.where("a <> b").join(firsts, "key").where(_may()).select("a", "b"), docs)
+    roots = components(stars).select(F.col("node").alias("a"), "root")
+    placed = shared.drop("b").join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = cut(placed.join(several, "key", "left_semi"))
+    right = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "n", "at", "root")))
+    met = left.join(right, (left.key == right.key) & (F.col("a") < F.col("a_b")) & (F.col("root") != F.col("root_b")) & _may())
+    return stars.unionByName(verified(met.select("a", F.col("a_b").alias("b")), docs))
 
 
 def near_copies(docs: DataFrame, among: DataFrame) -> DataFrame:
     """doc_id, root: documents of ``among`` (doc_id) with near copies among them, and their group's least id."""
     release(docs.sparkSession)
-    sigs = cut(signed(docs).join(among.distinct(), "doc_id", "left_semi"))
-    return components(similar_links(sigs)).select(F.col("node").alias("doc_id"), "root")
+    texts = cut(_texts(docs).join(among.distinct(), "doc_id", "left_semi"))
+    release(docs.sparkSession)
+    return components(similar_links(texts)).select(F.col("node").alias("doc_id"), "root")
