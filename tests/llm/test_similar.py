@@ -55,6 +55,17 @@ def test_all_members_of_a_crowded_key_are_compared(spark, crowd):
     assert found(spark, crowd) == want
 
 
+def test_threshold_is_exact(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(120):
+        w = [word(rng) for _ in range(rng.randrange(100, 400))]
+        texts += [" ".join(w), " ".join(edited(rng, w, round(len(w) * rng.uniform(0.018, 0.04))))]
+    alike = [likeness(shingles(a), shingles(b)) for a, b in zip(texts[::2], texts[1::2])]
+    assert sum(0.7 <= x < 0.8 for x in alike) >= 20 and sum(0.8 <= x < 0.85 for x in alike) >= 20
+    assert found(spark, texts) == groups(texts)
+
+
 def test_short_repeated_and_empty_texts(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "A  b c"), (3, "a b"), (4, ""), (5, None), (None, "a b c"), (6, "a b"), (6, "x y z")], "doc_id long, text string")
     got = {r.doc_id: r.root for r in similar.near_copies(docs, docs.select("doc_id")).collect()}
