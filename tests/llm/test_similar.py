@@ -66,6 +66,13 @@ def test_threshold_is_exact(spark):
     assert found(spark, texts) == groups(texts)
 
 
+def test_links_do_not_depend_on_size(spark, crowd, monkeypatch):
+    """The settings that follow the number of rows change the cost only."""
+    monkeypatch.setattr(similar, "EXACT_ROWS", 1, raising=False)
+    monkeypatch.setattr(similar, "SAMPLE_ROWS", 10, raising=False)
+    assert found(spark, crowd) == groups(crowd)
+
+
 def test_short_repeated_and_empty_texts(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "A  b c"), (3, "a b"), (4, ""), (5, None), (None, "a b c"), (6, "a b"), (6, "x y z")], "doc_id long, text string")
     got = {r.doc_id: r.root for r in similar.near_copies(docs, docs.select("doc_id")).collect()}
