@@ -6,7 +6,7 @@ step again after each edit, so their embeddings differ in few places, and keys o
 meet.  Walks from all windows are taken at once: two walks that reach one word at one step stay together
 from then on, so after SKIP steps few are left, and only what follows is sampled.  Items are walked from
 all their words too, so a match needs no edit-free start.  Each of REPEATS repetitions draws new coins and
-places; items too short for a walk are found by parts instead (with e edits, one of e + 1 parts is
+places; items of under WALK_WORDS words are found by parts instead (with e edits, one of e + 1 parts is
 intact).  Every pair that meets is verified by the exact edit distance, in words, between the item and the
 nearest stretch of the text.
 
@@ -39,8 +39,8 @@ ORACLE_SQL = None
 SIMILARITY = 0.8
 #: Steps walked before sampling, steps sampled from, places sampled, repetitions.
 SKIP, STEPS, PLACES, REPEATS = 3, 18, 8, 6
-#: Items of fewer words are found by parts.
-WALK_WORDS = 12
+#: Items of fewer words are found by parts, none is missed; their walks would leave too few keys.
+WALK_WORDS = 30
 #: Characters of benchmark text in one broadcast block, about.
 BLOCK_CHARS = 16_000_000
 
