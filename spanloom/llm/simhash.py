@@ -6,7 +6,9 @@ The perfect binary Golay code of length 23 turns such errors into equal keys: ``
 are the codeword indices of all words within one bit of it.  Segments up to two bits apart share a near
 key, and the ``own`` index of a segment is a near key of every segment within one bit.  So pairs meet on
   - one segment equal and a shared near key of another (six ordered choices), or
-  - own index of one segment among the other's near keys, and the reverse on a second (three choices).
+  - own index of one segment among the other's near keys, the reverse on a second (three choices), and a
+    shared near key of the third, which then has one or two errors.  That makes these keys 36 bits long, so
+    that the number of unlike fingerprints that meet stays small at any size.
 Every pair that meets is verified by counting differing bits, within the join, and only fingerprints that
 differ take part: equal ones are one class from the start.
 
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.runtime import cut, ship, table
+from spanloom.runtime import cut, maybe_broadcast, release, ship, table
 
 from .components import components
 from .text import LOWER, SPACE, pieces, raw, words
@@ -37,6 +39,8 @@ ORACLE_SQL = None
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
+#: The most keys that are met by a broadcast as too frequent for one task.
+HOT_KEYS = 2_000
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -156,11 +160,11 @@ def keys_of(fp: np.ndarray, golay: Golay, left: bool) -> tuple[np.ndarray, np.nd
         rows.append(r)
         keys.append(kind << 40 | seg[a][r] << 12 | near[b][r, c])
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), 6):
-        one, many = (a, b) if left else (b, a)
-        r, c = np.nonzero(near[many] >= 0)
+        one, many, third = (a, b, 3 - a - b) if left else (b, a, 3 - a - b)
+        r, c, d = np.nonzero((near[many] >= 0)[:, :, None] & (near[third] >= 0)[:, None, :])
         rows.append(r)
         first, second = (own[one][r], near[many][r, c]) if left else (near[many][r, c], own[one][r])
-        keys.append(kind << 40 | first << 12 | second)
+        keys.append(kind << 40 | first << 24 | second << 12 | near[third][r, d])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -216,19 +220,31 @@ def with_roots(fps: DataFrame, roots: DataFrame) -> DataFrame:
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of facts, which has a row for each key and how many rows have it.  Keys of more
+    than one in HOT_KEYS of all rows, of which there cannot be more than HOT_KEYS, are met by a broadcast, so
+    that a hot key is spread over all tasks."""
+    total = facts.agg(F.sum(size)).head()[0] or 0
+    hot = F.col(size) * HOT_KEYS > total
+    often = F.broadcast(facts.where(hot).drop(size))
+    rare = rows.join(often.select(key), key, "left_anti").join(facts.where(~hot).drop(size), key)
+    return rows.join(often, key).unionByName(rare)
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp, component_id of every document."""
     ship(docs.sparkSession)
     prints = cut(fingerprints(docs, k))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     # Star links first: large groups of near copies become one component before pairs are looked for,
     # and the exact search reports only pairs between different components.
     some = cut(stars(classes.withColumn("root", F.col("fp"))))
     rest = cut(links(with_roots(classes, components(some))))
-    named = with_roots(classes, components(some.unionByName(rest)))
+    named = cut(with_roots(classes, components(some.unionByName(rest))))
     # The component's name is the least doc_id over its fingerprints.
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.join(names, "root").select("fp", "component_id"), "fp")
+    names = cut(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    of_class = join_facts(named, names, "root", "members").select("fp", "copies", "component_id")
+    return join_facts(prints, cut(of_class), "fp", "copies")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,14 +253,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least id (of repeated rows, one).  Groups are the
-    components within four bits, and then near copies among those that name a component, found by several
-    fingerprints.  Documents with a null id stay."""
-    from .similar import near_copies
-
-    found = cut(near_duplicates(docs).where("doc_id IS NOT NULL"))
-    named = found.where("doc_id = component_id").select("doc_id").distinct()
-    copies = near_copies(docs, named).where("doc_id <> root").select("doc_id")
-    gone = found.where("doc_id <> component_id").select("doc_id").join(named, "doc_id", "left_anti").unionByName(copies).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.withColumn("same", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "same"]).drop("same")
+    """One document of each group stays: the one with the least id.  Links are those within four bits and the
+    near copies of ``similar``, among all different texts; groups are what both link together.  Of repeated rows
+    one stays, too, and documents with a null id all stay; an empty table gives an empty result."""
+    from .similar import similar_links
+
+    found = cut(near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "component_id"))
+    release(spark)
+    known = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    groups = components(known.unionByName(similar_links(docs)))
+    gone = cut(groups.where("node <> root").select(F.col("node").alias("doc_id")))
+    again = cut(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").join(gone, "doc_id", "left_anti"))
+    n_again = again.count()
+    apart = gone.unionByName(again)
+    kept = docs.join(maybe_broadcast(apart, gone.count() + n_again), "doc_id", "left_anti")
+    if not n_again:
+        return kept
+    repeated = docs.join(again, "doc_id", "left_semi").withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return kept.unionByName(repeated.dropDuplicates(["doc_id", "same"]).drop("same"))

@@ -1,19 +1,24 @@
-"""Near copies of lower similarity: texts whose five-word shingle sets overlap by 0.8, found exactly.
+"""Near copies of lower similarity: texts whose five-word shingle sets overlap by 0.8 or more.
 
 Texts whose five-word shingles overlap by 0.8 differ in six to ten of 64 SimHash bits, beyond what keys for
-four bits can promise.  Here a text's distinct shingles are put into one order that all texts share.  Two sets
-with a Jaccard overlap of 0.8 then have a shingle in common among the first fifth (and one more) of each, so
-these are a text's keys.  Every pair that shares a key is compared, whatever the size of the input; the first
-shingle they share tells from its places how large the overlap can be at most, and pairs that can reach 0.8
-are verified by their whole sets.  Shingles that a sample of texts shows to be common go last in the order:
-that keeps keys small and changes no result, as any order serves.
+four bits can promise.  Here a text's distinct shingles are put into one order that all texts share: by hash,
+and those that a sample of texts shows to be common last.  Of n shingles at most q = n // 5 can be missing from
+such a partner, so a pair shares one of the first q + 1 of each.  The order among the rare and among the common
+is random, so far fewer serve: of r > q rare shingles the first K all miss with a chance of at most
+(q / r) ** K, which is held below MISS; with fewer rare ones, all of these and as many common ones as keep
+that bound are keys.  For most texts that is 13 keys, whatever their length.
+
+Every pair that shares a key is compared, whatever the size of the input: the key's places in both orders tell
+how large the overlap can be at most, and pairs that can reach 0.8 are verified by their whole sets.  So no
+link is wrong, and a pair is lost with a chance of at most 2 * MISS.
 
 As in op6, stars come first: members of a key are compared with its least member.  Then the members of keys
 that still hold several components are compared with each other inside the join, so a large group of near
 copies is not paired out.
 
 Defined cases: a text of fewer than five words has one shingle, the whole sequence; texts without words and
-null ids take no part; repeated ids are one node.  Shingles are compared as 64-bit hashes.
+null ids take no part; repeated ids are one node; of equal texts the least id stands for all.  Shingles are
+compared as 64-bit hashes, texts as 128-bit ones.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.runtime import cut, release, ship
+from spanloom.runtime import cut, maybe_broadcast, release, ship
 
 from .components import components
 from .text import LOWER, hash_spans, mix, odd_constants, pieces, raw, words
@@ -33,12 +38,16 @@ from .text import LOWER, hash_spans, mix, odd_constants, pieces, raw, words
 SHINGLE_WORDS = 5
 #: The least Jaccard overlap of a link is PART / WHOLE.
 PART, WHOLE = 4, 5
+#: The chance at which either text of a pair may lose it.
+MISS = 1e-9
 #: Texts sampled for common shingles, and the share (and number) of them that makes a shingle common.
 SAMPLE_ROWS, COMMON_SHARE, COMMON_LEAST = 20_000, 1 / 500, 8
 
+_NONE = np.zeros(0, np.uint64)
+
 
-def shingle_sets(data: bytes, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, shingle) of all texts' distinct shingles in order; common: sorted shingles that go last."""
+def shingle_sets(data: bytes, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, whether common) of all texts' distinct shingles in order; common: sorted shingles that go last."""
     data = data.translate(LOWER)
     w = words(data, offsets)
     h, doc = hash_spans(data, w.start, w.end, 2), w.doc
@@ -51,10 +60,30 @@ def shingle_sets(data: bytes, offsets: np.ndarray, common: np.ndarray) -> tuple[
     shingle, doc = mix(shingle[kept]), doc[kept]
     last = common[np.minimum(np.searchsorted(common, shingle), len(common) - 1)] == shingle if len(common) else np.zeros(len(shingle), bool)
     order = np.lexsort((shingle, last, doc))
-    shingle, doc = shingle[order], doc[order]
+    shingle, doc, last = shingle[order], doc[order], last[order]
     new = np.ones(len(shingle), bool)
     new[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], shingle[new]
+    return doc[new], shingle[new], last[new]
+
+
+def _needed(spare: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How many of ``of`` shingles in random order must be looked at so that, if ``spare`` of them may be missing
+    from a partner, all that are looked at are missing with a chance of at most MISS."""
+    with np.errstate(divide="ignore"):
+        few = np.ceil(np.log(1 / MISS) / np.log(of / np.maximum(spare, 1e-3)))
+    return np.minimum(np.nan_to_num(few, posinf=1e9), spare + 1).astype(np.int64)
+
+
+def key_places(doc: np.ndarray, last: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each shingle in order: whether it is a key, its place in its text's order, and the text's shingles."""
+    n = np.bincount(doc, minlength=texts)
+    rare = np.bincount(doc, weights=~last, minlength=texts).astype(np.int64)
+    spare = n - -(-PART * n // WHOLE)
+    many = rare > spare
+    of_rare = np.where(many, _needed(spare, np.maximum(rare, spare + 1)), rare)
+    of_common = np.where(many, 0, np.minimum(spare + 1 - rare, _needed(spare, np.maximum(n - rare, spare + 1))))
+    at = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+    return (at < of_rare[doc]) | (at >= rare[doc]) & (at - rare[doc] < of_common[doc]), at, n[doc]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -70,7 +99,7 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                found, times = np.unique(shingle_sets(*raw(part.column("text")), np.zeros(0, np.uint64))[1], return_counts=True)
+                found, times = np.unique(shingle_sets(*raw(part.column("text")), _NONE)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
 
     sample = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
@@ -79,21 +108,24 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """key, a, n, at: a text's first shingles, how many it has, and the key's place in their order."""
+    """a, s1, s2 (the text's hashes), n, keys, places: how many shingles each text has, its keys and their places
+    in its order.  Texts without words are left out."""
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                doc, shingle = shingle_sets(*raw(part.column("text")), held.value)
-                n = np.bincount(doc, minlength=part.num_rows)
-                at = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-                n = n[doc]
-                kept = at <= n - -(-PART * n // WHOLE)
-                columns = [pa.array(shingle[kept].view(np.int64)), part.column("doc_id").take(pa.array(doc[kept])), pa.array(n[kept].astype(np.int32)), pa.array(at[kept].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "a", "n", "at"])
+                doc, shingle, last = shingle_sets(*raw(part.column("text")), held.value)
+                kept, at, n = key_places(doc, last, part.num_rows)
+                doc, shingle, at, n = doc[kept], shingle[kept], at[kept], n[kept]
+                ends = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
+                of = np.zeros(part.num_rows, np.int32)
+                of[doc] = n
+                lists = [pa.ListArray.from_arrays(ends, pa.array(shingle.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("s1"), part.column("s2"), pa.array(of), *lists], ["a", "s1", "s2", "n", "keys", "places"])
 
-    return _texts(docs).mapInArrow(run, "key long, a long, n int, at int")
+    sealed = _texts(docs).withColumns({"s1": F.xxhash64("text"), "s2": F.xxhash64(F.lit(1), "text")})
+    return sealed.mapInArrow(run, "a long, s1 long, s2 long, n int, keys array<long>, places array<int>").where("n > 0")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -102,7 +134,7 @@ def shingled(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                doc, shingle = shingle_sets(*raw(part.column("text")), np.zeros(0, np.uint64))
+                doc, shingle, _ = shingle_sets(*raw(part.column("text")), _NONE)
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))], ["doc_id", "shingles"])
 
@@ -121,8 +153,8 @@ def _may() -> Column:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets overlap enough.  Only texts of pairs are read again."""
     pairs = cut(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(shingled(docs.join(ids, "doc_id", "left_semi")))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = cut(shingled(_texts(docs).join(maybe_broadcast(ids, 2 * pairs.count()), "doc_id", "left_semi")))
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"set_{end}")), end)
     found = cut(pairs.where(_enough(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b").distinct())
@@ -130,26 +162,28 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def similar_links(docs: DataFrame) -> DataFrame:
-    """(a, b): links that join all texts of enough overlap; every link is verified."""
-    rows = keyed(docs, common_shingles(docs, docs.count()))
-    heads = rows.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").drop("most")
-    shared = cut(rows.join(heads, "key"))
+def similar_links(docs: DataFrame, equal: bool = False) -> DataFrame:
+    """(a, b): links that join all different texts of enough overlap; every link is verified.  equal: also from
+    each document to the least one of the same text."""
+    packed = cut(keyed(docs, common_shingles(docs, docs.count())))
+    first = packed.groupBy("s1", "s2").agg(F.min("a").alias("b"))
+    own = packed.join(first.select(F.col("b").alias("a")), "a", "left_semi")
+    rows = own.select("a", "n", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "a", "n", F.col("k.places").alias("at"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("a", "n", "at")).alias("head"), F.max("a").alias("most")).where("head.a < most")
+    shared = cut(rows.join(heads.select("key", F.col("head.a").alias("b"), F.col("head.n").alias("n_b"), F.col("head.at").alias("at_b")), "key"))
     release(docs.sparkSession)
-    firsts = shared.where("a = b").select("key", F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    stars = verified(shared.where("a <> b").join(firsts, "key").where(_may()).select("a", "b"), docs)
+    stars = verified(shared.where("a <> b").where(_may()).select("a", "b"), docs)
     roots = components(stars).select(F.col("node").alias("a"), "root")
-    placed = shared.drop("b").join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    placed = shared.select("key", "a", "n", "at").join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
     several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = cut(placed.join(several, "key", "left_semi"))
     right = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "n", "at", "root")))
     met = left.join(right, (left.key == right.key) & (F.col("a") < F.col("a_b")) & (F.col("root") != F.col("root_b")) & _may())
-    return stars.unionByName(verified(met.select("a", F.col("a_b").alias("b")), docs))
+    found = stars.unionByName(verified(met.select("a", F.col("a_b").alias("b")), docs))
+    return found.unionByName(packed.join(first, ["s1", "s2"]).where("a <> b").select("a", "b")) if equal else found
 
 
 def near_copies(docs: DataFrame, among: DataFrame) -> DataFrame:
     """doc_id, root: documents of ``among`` (doc_id) with near copies among them, and their group's least id."""
-    release(docs.sparkSession)
     texts = cut(_texts(docs).join(among.distinct(), "doc_id", "left_semi"))
-    release(docs.sparkSession)
-    return components(similar_links(texts)).select(F.col("node").alias("doc_id"), "root")
+    return components(similar_links(texts, equal=True)).select(F.col("node").alias("doc_id"), "root")

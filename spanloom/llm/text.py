@@ -106,7 +106,8 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 def hash_spans(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each span of bytes, eight bytes at a time."""
     size = end - start
-    h = size.astype(np.uint64) + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    # Scrambled before any byte comes in, so that no byte can undo a difference in length.
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
     if not len(start):
         return h
     view = np.ndarray((len(data),), "<u8", buffer=data + bytes(8), strides=(1,))
