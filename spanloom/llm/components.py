@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating large and small stars.
+"""Connected components of a table of links, by alternating large and small stars, and joins with hot keys.
 
 Each round points every node at a smaller neighbour and is cut by a reliable checkpoint; the number of
 rounds grows with the logarithm of the longest path.  Nothing is collected but two counters a round.
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from spanloom.runtime import cut
 
+#: The most keys that are met by a broadcast as too frequent for one task.
+HOT_KEYS = 2_000
+
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links: a > b, distinct.  Large: neighbours above a node go to its least neighbour; small: those below."""
@@ -35,3 +38,14 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of facts, which has a row for each key and how many rows have it.  Keys of more
+    than one in HOT_KEYS of all rows, of which there cannot be more than HOT_KEYS, are met by a broadcast, so
+    that a hot key is spread over all tasks."""
+    total = facts.agg(F.sum(size)).head()[0] or 0
+    hot = F.col(size) * HOT_KEYS > total
+    often = F.broadcast(facts.where(hot).drop(size))
+    rare = rows.join(often.select(key), key, "left_anti").join(facts.where(~hot).drop(size), key)
+    return rows.join(often, key).unionByName(rare)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from spanloom.runtime import cut, maybe_broadcast, release, ship, table
 
-from .components import components
+from .components import components, join_facts
 from .text import LOWER, SPACE, pieces, raw, words
 
 NAME = "op6_simhash_near_dedup"
@@ -39,8 +39,6 @@ ORACLE_SQL = None
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
-#: The most keys that are met by a broadcast as too frequent for one task.
-HOT_KEYS = 2_000
 
 # ---------------------------------------------------------------- fingerprints
 
@@ -220,17 +218,6 @@ def with_roots(fps: DataFrame, roots: DataFrame) -> DataFrame:
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
-    """rows with the columns of facts, which has a row for each key and how many rows have it.  Keys of more
-    than one in HOT_KEYS of all rows, of which there cannot be more than HOT_KEYS, are met by a broadcast, so
-    that a hot key is spread over all tasks."""
-    total = facts.agg(F.sum(size)).head()[0] or 0
-    hot = F.col(size) * HOT_KEYS > total
-    often = F.broadcast(facts.where(hot).drop(size))
-    rare = rows.join(often.select(key), key, "left_anti").join(facts.where(~hot).drop(size), key)
-    return rows.join(often, key).unionByName(rare)
-
-
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp, component_id of every document."""
     ship(docs.sparkSession)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spanloom.runtime import cut, maybe_broadcast, release, ship
 
-from .components import components
+from .components import components, join_facts
 from .text import LOWER, hash_spans, mix, odd_constants, pieces, raw, words
 
 SHINGLE_WORDS = 5
@@ -169,8 +169,9 @@ def similar_links(docs: DataFrame, equal: bool = False) -> DataFrame:
     first = packed.groupBy("s1", "s2").agg(F.min("a").alias("b"))
     own = packed.join(first.select(F.col("b").alias("a")), "a", "left_semi")
     rows = own.select("a", "n", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "a", "n", F.col("k.places").alias("at"))
-    heads = rows.groupBy("key").agg(F.min(F.struct("a", "n", "at")).alias("head"), F.max("a").alias("most")).where("head.a < most")
-    shared = cut(rows.join(heads.select("key", F.col("head.a").alias("b"), F.col("head.n").alias("n_b"), F.col("head.at").alias("at_b")), "key"))
+    heads = rows.groupBy("key").agg(F.min(F.struct("a", "n", "at")).alias("head"), F.max("a").alias("most"), F.count(F.lit(1)).alias("size")).where("head.a < most")
+    heads = cut(heads.select("key", F.col("head.a").alias("b"), F.col("head.n").alias("n_b"), F.col("head.at").alias("at_b"), "size"))
+    shared = cut(join_facts(rows, heads, "key", "size"))
     release(docs.sparkSession)
     stars = verified(shared.where("a <> b").where(_may()).select("a", "b"), docs)
     roots = components(stars).select(F.col("node").alias("a"), "root")

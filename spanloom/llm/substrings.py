@@ -5,7 +5,9 @@ smaller id.  Equal windows have equal anchors (see ``recompress``), so
 
 1. every task names the anchors of its windows and asks, by name, whether other documents have them;
 2. documents that share an anchor hash the windows around it, and windows are compared by anchor name
-   and window hash together (112 bits);
+   and window hash together: 48 and 64 bits of two independent hashes of the words' bytes, under keys drawn
+   anew for each run, so that unequal windows pass for equal with a chance of about 2 ** -112 whatever the
+   texts, and none can be made to;
 3. the words under repeated windows are cut out.
 
 Before either shuffle a task answers what it can see itself: of the documents of one piece of text that
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from secrets import randbits
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +43,15 @@ ORACLE_SQL = None
 WINDOW = 13
 
 
-def _parsed(part: pa.RecordBatch, size: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their hashes, the window starts of texts with an id, and each window's anchor."""
+def _parsed(part: pa.RecordBatch, size: int, key: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Words, the window starts of texts with an id, and each window's anchor."""
     w = words(*raw(part.column("text")))
-    h = hash_spans(w.data, w.start, w.end)
+    h = hash_spans(w.data, w.start, w.end, key)
     starts = window_starts(w.first, size)
     has_id = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
     starts = starts[has_id[w.doc[starts]]]
     name = anchors(levels(h, w.doc), starts, size, np.append(0, np.cumsum(w.end - w.start)))
-    return w, h, starts, name
+    return w, starts, name
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
@@ -88,11 +91,11 @@ def _unpacked(batches: list[pa.RecordBatch], kinds: dict[str, type]) -> list[np.
 # ---------------------------------------------------------------- 1: shared anchors
 
 
-def _ask_anchors(size: int, n_buckets: int):
+def _ask_anchors(size: int, n_buckets: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                w, _, starts, name = _parsed(part, size)
+                w, starts, name = _parsed(part, size, key)
                 ids = _ids(part)[w.doc[starts]]
                 at = _heads(name, ids)
                 name, ids = name[at], ids[at]
@@ -156,19 +159,19 @@ def _runs(name: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     return head, np.diff(np.append(head, len(at))).astype(np.uint8)
 
 
-def _ask_windows(size: int, n_buckets: int):
+def _ask_windows(size: int, n_buckets: int, keys: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column("names").is_valid())
             for part in pieces(batch, "text") if batch.num_rows else ():
-                w, h, starts, name = _parsed(part, size)
+                w, starts, name = _parsed(part, size, keys[0])
                 wanted = np.unique(part.column("names").flatten().to_numpy(zero_copy_only=False).view(np.uint64))
                 place = np.minimum(np.searchsorted(wanted, name), max(len(wanted) - 1, 0))
                 kept = wanted[place] == name if len(wanted) else np.zeros(len(name), bool)
                 starts, name = starts[kept], name[kept]
                 if not len(starts):
                     continue
-                hashes = window_hash(h, size, 1)[starts]
+                hashes = window_hash(hash_spans(w.data, w.start, w.end, keys[1]), size, keys[1])[starts]
                 doc = w.doc[starts]
                 ids, at = _ids(part)[doc], (starts - w.first[doc]).astype(np.int32)
                 order = np.lexsort((ids, hashes, name))
@@ -272,10 +275,11 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, spans: array of (low, high), windows that start in a smaller document too."""
     ship(docs.sparkSession)
     n = shuffle_width(docs.sparkSession)
-    asked = docs.mapInArrow(_ask_anchors(size, n), "bucket int, names binary, docs binary, known boolean")
+    keys = randbits(62), randbits(62)
+    asked = docs.mapInArrow(_ask_anchors(size, n, keys[0]), "bucket int, names binary, docs binary, known boolean")
     shared = asked.repartitionById(n, "bucket").mapInArrow(_shared_names, "doc_id long, name long")
     names = shared.groupBy("doc_id").agg(F.collect_list("name").alias("names"))
-    asked = docs.join(names.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_ask_windows(size, n), _ASKED)
+    asked = docs.join(names.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_ask_windows(size, n, keys), _ASKED)
     spans = asked.repartitionById(n, "bucket").mapInArrow(_repeats, "doc_id long, low int, high int")
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
