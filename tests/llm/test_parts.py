@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,17 @@ def test_pieces_cover_every_row():
     assert [r for p in text.pieces(batch, "text", 8) for r in p.column("text").to_pylist()] == batch.column("text").to_pylist()
 
 
+def test_words_that_differ_by_control_bytes_are_told_apart(spark):
+    tail = " ".join(f"w{k}" for k in range(12))
+    heads = ["a", "b\x00", "c\x00\x00", "\x00", "\x00\x00", "a\x01", "a\x1f", "c\x02\x00"]
+    docs = spark.createDataFrame([(k, f"{h} {tail}") for k, h in enumerate(heads)] + [(90, f"a {tail}")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.without_repeats(docs).collect()}
+    assert got == {**dict.fromkeys(range(len(heads)), 0), 90: 13}
+    w = text.words(*text.raw(pa.array([" ".join(heads)])))
+    for seed in (0, 1, 12345):
+        assert len(set(text.hash_spans(w.data, w.start, w.end, seed).tolist())) == len(heads)
+
+
 # ---------------------------------------------------------------- SimHash
 
 
@@ -187,6 +199,41 @@ def test_spans_of_mixed_text(spark, sf_dir):
     assert languages.label(mixed, languages.Model()).head().lang_pred == "und"
 
 
+def test_short_texts_within_long_ones_are_found():
+    rng = random.Random(11)
+    found = []
+    for _ in range(200):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(3000)]
+        at = rng.randrange(2900)
+        part, whole = sketches.sketches(pa.array([" ".join(words[at : at + 30]), " ".join(words)]))
+        found.append(sketches.containment(part, whole))
+    assert min(found) > 0 and sum(found) / 200 > 0.99
+
+
+def test_buckets_follow_the_order_of_pairs():
+    rng = np.random.default_rng(3)
+    pairs = sorted((int(a), int(b)) for a, b in zip(rng.integers(-3, 3, 60), rng.integers(-(1 << 63), 1 << 63, 60)))
+    bounds = pairs[5::9]
+    got = sketches.bucket_of(*(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)), tuple(np.array([c[k] for c in bounds], np.int64) for k in (0, 1)))
+    assert got.tolist() == [sum(c <= p for c in bounds) for p in pairs]
+
+
+@pytest.mark.parametrize("ids", [[-9 * 10**18, 9 * 10**18], [*range(50), 9 * 10**18], [hash(str(k)) * 7919 % (1 << 64) - (1 << 63) for k in range(60)], [7] * 30 + [8, None, None, -(1 << 63) + 1]])
+def test_next_documents_at_any_ids(spark, ids):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcdefg") * 3 for _ in range(rng.randrange(0, 40))) + f" {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    ties = {r.text: r.tie for r in docs.collect()}
+    line = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), ties[r[1]]))
+    got = sorted(((r.doc_id, r.edited_sha256, r.near_next) for r in sketches.compare_edited(docs).collect()), key=repr)
+    sets = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())(t.split())
+    want = []
+    for (i, t), (_, u) in zip(line, line[1:] + line[:1]):
+        a, b = sets(t), sets(u)
+        want.append((i, sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest(), len(a & b) / min(len(a), len(b))))
+    assert got == sorted(want, key=repr)
+
+
 # ---------------------------------------------------------------- sketches, tokens, licences, URLs, benchmarks
 
 
@@ -194,11 +241,10 @@ def test_sketches_merge_and_compare_at_the_coarser_level():
     rng = random.Random(0)
     words = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
     whole, half, part = sketches.sketches(pa.array([" ".join(words), " ".join(words[:2000]), " ".join(words[100:160])]))
-    assert whole.level == sketches.LEVELS and part.level == 0 and len(part.hashes) == 56
-    assert sketches.containment(part, whole) in (0.0, 1.0) or abs(sketches.containment(part, whole) - 1) < 0.01
+    assert whole.limit == half.limit == sketches.LIMIT and part.limit == sketches.ALL and len(part.hashes) == 56
+    assert sketches.containment(part, whole) == 1.0
     assert abs(sketches.containment(half, whole) - 1) < 1e-9
-    assert set(whole.merge(half).hashes) == set(whole.hashes)
-    assert sketches.sketches(pa.array(["", None]))[0].text() == "0:"
+    assert sketches.sketches(pa.array(["", None]))[0].text() == f"{sketches.ALL:x}:"
 
 
 def test_counts_do_not_depend_on_the_cache():
