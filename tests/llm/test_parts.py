@@ -1,8 +1,10 @@
 """The operators' own parts: codes, parses, segments, paths, indexes, and their general interfaces."""
 
 import itertools
+import math
 import random
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -268,6 +270,40 @@ def test_licence_tree(spark):
     }
 
 
+def test_rows_with_one_id_are_judged_each(spark):
+    docs = spark.createDataFrame([(7, "Released under the MIT License.", "en", "s"), (7, "nothing of the kind " * 9, "en", "t"), (None, "MIT License\n\nplain words", "en", "u")], "doc_id long, text string, lang string, source string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(licenses.paths_of(docs)).collect()}
+    assert got == {"s/en/0/7": ("MIT", "file"), "t/en/0/7": (None, "none"), "u/en/-/-": (None, "none")}
+
+
+def test_whole_licences_headers_and_tags(spark):
+    whole = {n: "Copyright (c) 2026 A. Writer\n\n" + t for n, k, t in licenses.TEMPLATES if k == "text"}
+    apache = next(t for n, k, t in licenses.TEMPLATES if n == "Apache-2.0" and k == "notice" and "Unless" in t)
+    lines = "\n".join("# " + " ".join(apache.split()[k : k + 9]) for k in range(0, len(apache.split()), 9))
+    code = "\n".join(f"value_{k} = call_{k}(other_{k})" for k in range(200))
+    files = {f"{n}/COPYING": (t, n, "file") for n, t in whole.items()}
+    files["h/a.py"] = (f"#!/bin/python\n\n{lines}\n\n{code}", "Apache-2.0", "header")
+    files["t/a.c"] = (f"/* SPDX-License-Identifier: MPL-2.0 */\n{code}", "MPL-2.0", "header")
+    for name, n in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("GPL-2", "GPL-2.0"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0")):
+        where = Path("/usr/share/common-licenses") / name
+        if where.exists():
+            files[f"long/{name}/LICENSE"] = (where.read_text(), n, "file")
+    files |= {f"code/{k}.py": (code.replace("_", f"_{k}"), None, "none") for k in range(20)}
+    df = spark.createDataFrame([(p, t) for p, (t, _, _) in files.items()], "path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(df).collect()}
+    assert got == {p: (n, o) for p, (_, n, o) in files.items()}
+
+
+def test_cover_drops_nothing_that_could_be_like_enough():
+    rng = random.Random(4)
+    idf = {f"t{k}": rng.uniform(1, 9) for k in range(30)}
+    for _ in range(300):
+        of = {t: idf[t] for t in rng.sample(sorted(idf), 8)}
+        other = {t: idf[t] * rng.randrange(1, 3) for t in rng.sample(sorted(idf), 6)}
+        cos = sum(of.get(t, 0) * w for t, w in other.items()) / math.sqrt(sum(w * w for w in of.values()) * sum(w * w for w in other.values()))
+        assert cos < 0.7 or licenses.cover([of], 0.7, idf) & other.keys()
+
+
 def test_list_is_exact_behind_the_filter(spark):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.h"), F.col("id").cast("string"), F.lit(".xyz/p/?utm_a=1")).alias("url"))
     listed = pages.where("page_id % 7 = 0").select(F.regexp_replace("url", "https://www", "http://m").alias("url"))
