@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from spanloom.runtime import ship, table
 
 from .sampling import at_most, fold
-from .text import Words, pieces, raw, words
+from .text import PIECE_BYTES, Words, pieces, raw, words
 
 NAME = "op8_language_id"
 ORACLE_SQL = None
@@ -48,6 +48,7 @@ LEAST_SHARE = 0.001
 PAIRS, TRIPLE_BITS = 1 << 16, 17
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LETTER, LAST = regex.compile(r"\p{L}"), regex.compile(r"(?r)\p{L}\p{M}*")
 
 #: First and last code point of the main ranges of each script.
 SCRIPTS = (
@@ -183,8 +184,10 @@ def label(docs: DataFrame, model: Model, spans: bool = False, carry: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
+        # Word scores take room for each byte and language.
+        limit = PIECE_BYTES * 4 // max(4, len(model.languages))
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", limit):
                 lettered = pc.match_substring_regex(pc.fill_null(part.column("text"), ""), r"\pL").to_pylist()
                 w = letters_only(part.column("text"))
                 scores = word_scores(w, model) if model.languages else None
@@ -202,6 +205,10 @@ def label(docs: DataFrame, model: Model, spans: bool = False, carry: tuple[str,
                     sure.append(float(n.max() / (b - a)))
                     if spans:
                         head = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+                        if len(head) == 1:
+                            whole = part.column("text")[d].as_py()
+                            listed.append([{"lang": model.languages[path[0]], "low": LETTER.search(whole).start(), "high": LAST.search(whole).end()}])
+                            continue
                         # Lower-casing may change lengths; words keep their order and number but for rare letters.
                         place = [m.span() for m in WORD.finditer(part.column("text")[d].as_py())]
                         last = [*(head[1:] - 1), len(path) - 1]
@@ -221,15 +228,14 @@ def label(docs: DataFrame, model: Model, spans: bool = False, carry: tuple[str,
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    return label(docs, model).select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return label(docs, model, spans=True).select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents labelled ``und`` go; the others get the predicted language where they had none."""
+    """Documents labelled ``und`` go: null texts and texts without a letter.  The others carry the predicted
+    language, whatever was given; without any language to learn from they keep what they had."""
     model = fit(docs)
     found = label(docs, model, carry=("text", "lang", "source", "n_chars"))
     if model.languages:
-        kept = found.where(F.col("lang_pred") != UNKNOWN)
-    else:
-        kept = found.where(F.col("text").rlike(r"\p{L}"))
-    return kept.select("doc_id", "text", F.coalesce("lang", F.when(F.lit(bool(model.languages)), F.col("lang_pred"))).alias("lang"), "source", "n_chars")
+        return found.where(F.col("lang_pred") != UNKNOWN).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return found.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang", "source", "n_chars")

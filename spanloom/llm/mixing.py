@@ -5,8 +5,8 @@ range (a total per range, then a running total of the ranges), and the order is
 budget ends.  A budget above a source's size takes whole epochs first, then the cut.
 
 Defined cases: null texts have size 0; a null source is a source of its own and ranks last; a null
-doc_id is keyed as the empty string; repeated rows each count; an empty table gives an empty result;
-further columns of the input are ignored, whatever their names.
+doc_id is keyed as the empty string, and rows of one id apart by their texts; repeated rows each count; an
+empty table gives an empty result; further columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,10 +51,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
 
 
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """sizes: doc_id, source, size (and more).  Adds source_size, target and taken."""
+    """sizes: doc_id, source, size, body (and more).  Adds source_size, target and taken.  body: any string that
+    tells rows with the same or no id apart, so that they do not share one key."""
     goals = cut(targets(sizes, weights, share, epochs))
     n_sources = goals.count()
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("body")).cast("binary"))
     goals = goals.withColumnRenamed("source", "goal_source")
     rows = sizes.withColumn("mix_key", key).join(maybe_broadcast(goals, n_sources), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source")
     digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("source_rows") / RANGE_ROWS) / F.log(F.lit(16.0)))).cast("int")
@@ -69,12 +70,13 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = E
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     left = budget - whole * F.col("source_size") - F.col("before_range") - F.col("before_in_range")
     taken = whole * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), left))
-    return rows.withColumn("taken", taken.cast("long")).drop("mix_key", "mix_range", "source_rows", "before_in_range", "before_range")
+    return rows.withColumn("taken", taken.cast("long")).drop("mix_key", "mix_range", "body", "source_rows", "before_in_range", "before_range")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The whole mix of a documents table."""
-    return mix(cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))), **options)
+    body = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    return mix(cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), body.alias("body"))), **options)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +84,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How much of each document the mix takes; a row for every document, null and empty texts with size 0."""
     return mix_documents(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS mix_key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -103,7 +106,7 @@ l AS (
   SELECT source, source_size, least(cap, weight * (SELECT lv FROM l WHERE lv <= full_at ORDER BY full_at, rk LIMIT 1)) AS target FROM l
 ), p AS (
   SELECT doc_id, size, source_size, target,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY mix_key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 ), q AS (SELECT *, floor(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS whole FROM p)
 SELECT doc_id, size, source_size, target,

@@ -1,13 +1,15 @@
 """Token counts by a two-tier lookup of pre-tokens.
 
-Tier one is a broadcast table of the vocabulary's own whole words, the pre-tokens a BPE vocabulary is
-made of, each one token long; its size is bounded by the vocabulary file.  Tier two is a cache in each
-Python worker, of bounded size, filled by encoding the pre-tokens that miss.  Counts are sums over
-pre-tokens, so no pre-token is shuffled and no text leaves its task.
+Tier one is a broadcast table of the corpus's frequent pre-tokens with their lengths in tokens.  Each task
+counts its own pre-tokens and reports those that are at least one in FREQUENT of them, so at most FREQUENT
+rows; a pre-token as frequent in the whole corpus is as frequent in some task, and the table holds at most
+FREQUENT entries.  Tier two is a cache in each Python worker, of bounded size, filled by encoding the
+pre-tokens that miss.  Counts are sums over pre-tokens, so no text leaves its task, and neither the table nor
+the cache changes a count.
 
-Texts outside a safe range go to the library whole, so counts never depend on how closely this module's
-splitting follows the library's: any character beyond Latin Extended-A, control or format characters,
-and any text that may hold a special token's string.
+Stretches between white space are independent of each other.  Those outside a safe range go to the library as
+they are, so counts never depend on how closely this module's splitting follows the library's: any character
+beyond Latin Extended-A, control or format characters, and whatever may hold a special token's string.
 
 Defined cases: null reads as empty, with 0 bytes and tokens; repeated rows are counted each; an empty
 table gives an empty result; further columns are ignored.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter as Counts
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.runtime import ship, table
+from spanloom.runtime import cut, ship, table
 
 from .text import pieces
 
@@ -35,8 +38,10 @@ ORACLE_SQL = None
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-#: Entries of a worker's cache; it starts anew when full.
-CACHE_ENTRIES = 1_500_000
+#: Entries of a worker's cache, which starts anew when full, and characters of the longest stretch it keeps.
+CACHE_ENTRIES, CACHE_CHARS = 1_500_000, 64
+#: A pre-token is frequent if it is at least one in so many.
+FREQUENT = 10_000
 
 #: Fixed value: how the word tokenizer splits normalised text.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\s{L}{N}]+"
@@ -57,6 +62,17 @@ def _range(kind: str) -> str:
 
 SPLIT = re.compile(PRE_TOKEN.format(L=_range("L"), N=_range("N")))
 _UNSAFE = re.compile(UNSAFE)
+_STRETCH = re.compile(r"[^\t\n\x0b\x0c\r ]+")
+
+
+def split(text: str) -> tuple[list[str], list[str]]:
+    """Pre-tokens of the text's safe stretches, and its other stretches."""
+    if not _UNSAFE.search(text):
+        return SPLIT.findall(text.lower()), []
+    safe, other = [], []
+    for x in _STRETCH.findall(text):
+        (other if _UNSAFE.search(x) else safe).append(x)
+    return SPLIT.findall(" ".join(safe).lower()), other
 
 
 class Counter:
@@ -66,8 +82,7 @@ class Counter:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.common, self.capacity, self.cache = common, capacity, dict(common)
-        self.split, self.unsafe = SPLIT.findall, _UNSAFE.search
+        self.common, self.capacity, self.cache, self.others = common, capacity, dict(common), {}
 
     def whole(self, text: str) -> int:
         return len(self.library.encode(text, add_special_tokens=False))
@@ -81,12 +96,11 @@ class Counter:
         return [self.whole(x) for x in pre_tokens]
 
     def count(self, text: str) -> int:
-        if self.unsafe(text):
-            return self.whole(text)
-        found = self.split(text.lower())
+        found, other = split(text)
+        n = sum(map(self.other, other))
         cache = self.cache
         try:
-            return sum([cache[x] for x in found])
+            return n + sum([cache[x] for x in found])
         except KeyError:
             pass
         if len(cache) > len(self.common) + self.capacity:
@@ -94,28 +108,61 @@ class Counter:
         missing = [x for x in dict.fromkeys(found) if x not in cache]
         for at in range(0, len(missing), 500):
             cache.update(zip(part := missing[at : at + 500], self.lengths(part)))
-        return sum([cache[x] for x in found])
+        return n + sum([cache[x] for x in found])
+
+    def other(self, stretch: str) -> int:
+        if len(stretch) > CACHE_CHARS:
+            return self.whole(stretch)
+        if stretch not in self.others:
+            if len(self.others) > self.capacity:
+                self.others = {}
+            self.others[stretch] = self.whole(stretch)
+        return self.others[stretch]
+
+
+def _often(counts: Counts, share: int) -> list[tuple[str, int]]:
+    least = -(-sum(counts.values()) // share)
+    return [(x, n) for x, n in counts.items() if n >= least]
+
+
+def frequent(docs: DataFrame, share: int = FREQUENT) -> list[str]:
+    """Pre-tokens that are at least one in ``share`` of all reported ones, at most ``share`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counts = Counts()
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                for t in part.column("text").to_pylist():
+                    counts.update(split(t or "")[0])
+                if len(counts) > CACHE_ENTRIES:
+                    # Memory stays bounded on long tasks: what is rare so far starts again.
+                    counts = Counts(dict(_often(counts, 10 * share)))
+        found = _often(counts, share)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
 
+    told = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    told = cut(told)
+    total = told.agg(F.sum("n")).head()[0] or 0
+    return sorted(r.word for r in told.where(F.col("n") * share >= total).collect())
 
-def common_lengths(path: str) -> dict[str, int]:
-    """The vocabulary's whole words that are a pre-token by themselves, each of one token."""
-    import json
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    end = model["end_of_word_suffix"]
-    words = (x.removesuffix(end) for x in model["vocab"] if x.endswith(end))
-    return {x: 1 for x in words if x.isascii() and x == x.lower() and SPLIT.fullmatch(x)}
+def common_lengths(path: str, words: list[str]) -> dict[str, int]:
+    """Each word's tokens."""
+    counter = Counter(path, {})
+    parts = [words[at : at + 500] for at in range(0, len(words), 500)]
+    return {x: n for part in parts for x, n in zip(part, counter.lengths(part))}
 
 
-#: One counter for each vocabulary in a worker, so that its cache outlives the task.
-_COUNTERS: dict[str, Counter] = {}
+#: The counter of the vocabulary and table last used in this worker, so that its cache outlives the task.
+_COUNTERS: dict[tuple[str, int], Counter] = {}
 
 
 def _counter(path: str, common: Broadcast) -> Counter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path, common.value)
-    return _COUNTERS[path]
+    key = path, id(common.value)
+    if key not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[key] = Counter(path, common.value)
+    return _COUNTERS[key]
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
@@ -123,7 +170,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     spark = docs.sparkSession
     ship(spark)
     path = tokenizer_path(tokenizer)
-    common = spark.sparkContext.broadcast(common_lengths(path))
+    common = spark.sparkContext.broadcast(common_lengths(path, frequent(docs)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path, common)

@@ -1,20 +1,21 @@
 """Toxicity by maximum-scoring segments.
 
-Token scores are log-odds of document frequencies in toxic against other documents, with a Dirichlet prior
-in proportion to each token's overall frequency; the score is the lower end of its confidence interval,
-and every token costs a small drift, so that a random text scores below zero.  A linear-time scan finds
-all maximal scoring segments of a text.  Their scores follow an extreme-value law whose rate solves
-sum p(w) exp(rate s(w)) = 1 over the tokens of other documents; its scale is read off the training
-documents.  A document's evidence is the sum over its segments with an expected count (e-value) below
+Word scores are log-odds of document frequencies in toxic against other documents, with a Dirichlet prior in
+proportion to each word's overall frequency; the score is the end of its confidence interval that is nearer to
+zero, for words of either kind, and every word costs a small drift, so that a random text scores below zero.
+A linear-time scan finds all maximal scoring segments of a text.  Their scores follow an extreme-value law
+whose rate solves sum p(w) exp(rate s(w)) = 1 over the words of other documents; its scale is read off the
+training documents.  A document's evidence is the sum over its segments with an expected count (e-value) below
 0.05, and a one-variable logistic fit turns it into a probability.
 
 Learning takes labelled rows outside the held-out fold, at most TRAIN_ROWS of them, drawn by hash; exact
-copies count once.  Nothing but the text enters a score.
+copies count once.  The scale and the logistic fit are read off the rows that the odds were learnt from.
+Nothing but the text enters a score.
 
 Defined cases: null and empty texts have no segment and get the score of no evidence; rows with a null id
-are scored (held_out is null); conflicting labels of one id count as toxic; without labels of both kinds
-every score is the share of toxic labels (0 without labels); repeated rows are scored each; an empty table
-gives an empty result; further columns are ignored.
+are scored (held_out is null); conflicting labels of one id, or of equal texts, count as toxic; without labels
+of both kinds every score is the share of toxic labels (0 without labels); repeated rows are scored each; an
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,14 +38,11 @@ NAME = "op4_toxicity"
 ORACLE_SQL = None
 
 FOLDS = 5
-#: Bounds on what is learnt from and what is sent to the tasks.
+#: The bound on what is learnt from.
 TRAIN_ROWS = 50_000
-MODEL_TOKENS = 20_000
 
 #: The prior's weight as a share of all counts; half-width of the interval in standard errors.
 PRIOR, WIDTH = 0.02, 1.5
-#: Inflected and compound words are also scored by their first bytes.
-STEM_BYTES = 4
 LEAST_SCORE, LEAST_DRIFT = 0.5, 0.1
 SIGNIFICANT = 0.05
 
@@ -64,28 +62,28 @@ class Model:
 
 
 def tokens_of(part: pa.RecordBatch) -> tuple[Words, np.ndarray]:
-    """Bare words of the lower-cased texts; a row of hashes of the words and a row of those of their stems."""
+    """Bare words of the lower-cased texts, and their hashes."""
     w = words(*raw(pc.utf8_lower(pc.fill_null(part.column("text"), ""))), inside=BARE)
-    return w, np.stack([hash_spans(w.data, w.start, w.end), hash_spans(w.data, w.start, np.minimum(w.end, w.start + STEM_BYTES), 1)])
+    return w, hash_spans(w.data, w.start, w.end)
 
 
 def scores_of(h: np.ndarray, model: Model) -> np.ndarray:
-    """The larger of each word's own score and its stem's; 0 where the model has neither."""
-    if not len(model.tokens) or not h.size:
-        return np.zeros(h.shape[1])
+    """Each word's score, less the drift; 0 less the drift where the model has none."""
+    if not len(model.tokens) or not len(h):
+        return np.full(len(h), -model.drift)
     place = np.minimum(np.searchsorted(model.tokens, h), len(model.tokens) - 1)
-    return np.where(model.tokens[place] == h, model.scores[place], 0.0).max(axis=0)
+    return np.where(model.tokens[place] == h, model.scores[place], 0.0) - model.drift
 
 
-def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (low, high, score) where token at[i] scores gain[i] - drift > 0 and any
-    other -drift.  Each candidate keeps the sums before and after it, and a link to the last candidate
-    that starts lower, so that candidates are passed over once."""
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (low, high, score).  Each candidate keeps the sums before and after it, and
+    a link to the last candidate that starts lower, so that candidates are passed over once."""
     found: list[list] = []  # low, high, sum before, sum after, index of the last with a lower sum before
-    total, last = 0.0, -1
-    for place, g in zip(at.tolist(), gain.tolist()):
-        before = total - drift * (place - last - 1)
-        total, last = before + g - drift, place
+    at = np.flatnonzero(scores > 0)
+    if not len(at):
+        return []
+    sums = np.append(0.0, np.cumsum(scores))
+    for place, before, total in zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist()):
         low, left, right = place, before, total
         j = len(found) - 1
         while True:
@@ -105,13 +103,9 @@ def maximal_segments(at: np.ndarray, gain: np.ndarray, drift: float) -> list[tup
 def segments_of(part: pa.RecordBatch, model: Model) -> Iterator[tuple[int, list[tuple[int, int, float]], Words]]:
     """For each text its number of tokens and its maximal segments."""
     w, h = tokens_of(part)
-    gain = scores_of(h, model)
-    hit = np.flatnonzero(gain > model.drift)
-    gain = gain[hit]
-    bounds = np.searchsorted(hit, w.first)
-    for d in range(part.num_rows):
-        a, b = bounds[d], bounds[d + 1]
-        yield int(w.first[d + 1] - w.first[d]), maximal_segments(hit[a:b] - w.first[d], gain[a:b], model.drift) if b > a else [], w
+    scores = scores_of(h, model)
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        yield b - a, maximal_segments(scores[a:b]), w
 
 
 def log_e(score: float, n: int, model: Model) -> float:
@@ -129,7 +123,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
             w, h = tokens_of(part)
-            doc, h = np.tile(w.doc, 2), h.ravel()
+            doc = w.doc
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             new = np.ones(len(h), bool)
@@ -145,7 +139,7 @@ def _rate(gain: np.ndarray, p: np.ndarray, drift: float) -> float:
     low, high = 1e-6, 50.0
     for _ in range(80):
         mid = (low + high) / 2
-        if np.sum(p * np.exp(np.minimum(mid * (gain - drift), 500))) + (1 - p.sum()) * np.exp(-mid * drift) > 1:
+        if np.sum(p * np.exp(np.clip(mid * (gain - drift), -500, 500))) + (1 - p.sum()) * np.exp(-mid * drift) > 1:
             high = mid
         else:
             low = mid
@@ -175,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     ship(docs.sparkSession)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = at_most(known, train_rows)
-    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", F.xxhash64(F.coalesce("text", F.lit(""))).alias("same"))
-    train = cut(train.dropDuplicates(["same"]).select("text", "toxic"))
+    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    train = cut(train.groupBy(F.xxhash64("text").alias("same"), F.xxhash64(F.lit(1), "text").alias("too")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     counts = cut(train.mapInArrow(_counts, "token long, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     kinds = {r.toxic: r["count"] for r in train.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
     model = Model()
@@ -189,8 +183,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     prior, weight = PRIOR * (F.col("n0") + F.col("n1")), PRIOR * n
     odds = [F.log((F.col(c) + prior) / (t + weight - F.col(c) - prior)) for c, t in (("n1", total.n1), ("n0", total.n0))]
     error = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    scored = counts.select("token", "n0", "n1", (odds[0] - odds[1] - WIDTH * error).alias("score")).where((F.col("n1") > 1) & (F.col("score") > LEAST_SCORE))
-    rows = scored.orderBy(F.desc("score"), "token").limit(MODEL_TOKENS).toPandas()
+    odds, error = odds[0] - odds[1], WIDTH * error
+    # The end of the interval that is nearer to no preference.
+    least = F.when(odds > error, odds - error).when(odds < -error, odds + error)
+    scored = counts.select("token", "n0", "n1", least.alias("score")).where((F.col("score") < -LEAST_SCORE) | (F.col("n1") > 1) & (F.col("score") > LEAST_SCORE))
+    # Words of the training texts, of which there are TRAIN_ROWS at most.
+    rows = scored.toPandas()
     token, gain = rows["token"].to_numpy(np.int64).view(np.uint64), rows["score"].to_numpy(float)
     p = ((rows["n0"] + PRIOR * (rows["n0"] + rows["n1"])) / (total.n0 + PRIOR * n)).to_numpy(float)
     order = np.argsort(token)
@@ -201,14 +199,16 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                found = [(n, max((s for _, _, s in some), default=0.0), [s for _, _, s in some]) for n, some, _ in segments_of(part, model)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.list_(pa.float64())), part.column("toxic").cast(pa.int32())], ["n", "best", "scores", "toxic"])
+                found = [(n, max((s for _, _, s in some), default=0.0), evidence(n, some, model)) for n, some, _ in segments_of(part, model)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in found], of) for k, of in enumerate((pa.int64(), pa.float64(), pa.float64()))), part.column("toxic").cast(pa.int32())], ["n", "best", "x", "toxic"])
 
-    seen = train.mapInArrow(best, "n long, best double, scores array<double>, toxic int").toPandas()
+    # Four numbers for each training text; first for the scale of the extreme values, then with it.
+    seen = train.mapInArrow(best, "n long, best double, x double, toxic int").toPandas()
     clean = seen[seen.toxic == 0]
     level = np.quantile(model.rate * clean.best - np.log(np.maximum(clean.n, 1)), 0.95)
     model.log_k = float(level + np.log(-np.log(0.95)))
-    x = np.arcsinh([evidence(n, [(0, 0, s) for s in scores], model) for n, scores in zip(seen.n, seen.scores)])
+    seen = train.mapInArrow(best, "n long, best double, x double, toxic int").toPandas()
+    x = np.arcsinh(seen.x.to_numpy(float))
     model.slope, model.offset = _logistic(x, (seen.toxic > 0).to_numpy(float))
     return model
 
@@ -242,5 +242,5 @@ def score(docs: DataFrame, model: Model, passages: bool = False) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(F.col("doc_id"), FOLDS) != 0)
-    scored = score(docs, fit(docs, labels))
-    return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs, fit(docs, labels), passages=True)
+    return scored.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")

@@ -6,7 +6,8 @@ removes the false positives.  Only DataFrame functions are used.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 allowed; repeated rows stay; an empty list allows what no rule blocks; an empty table gives an empty
-result; further columns are kept by ``judge`` unless they carry the name of a result column.
+result; further columns are kept by ``judge`` whatever their names, but for those of its own results, which
+it replaces.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: Host labels whose pages make up the query's list of known bad URLs.
 BAD_LABELS = ("spam-farm", "cheap-pills", "casino-win", "ads-track", "free-bets")
 
+#: What ``judge`` adds.
+RESULTS = ("host", "path", "rule", "verdict", "in_list")
+
 BITS_SET = 6
 URLS_PER_BLOCK = 4
 #: A filter of at most so many blocks (16 bytes each) is broadcast; a larger one is joined by shuffle.
@@ -85,13 +89,15 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     if n_blocks <= MAX_BROADCAST_BLOCKS:
         bloom = F.broadcast(bloom)
 
-    pages = pages.drop("host", "path", "rule", "verdict", "in_list")
-    kept = pages.columns
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    # The page's own columns travel as one, so that no name of theirs meets one of ours.
+    pages = pages.drop(*RESULTS)
+    kept = [F.col("page")[c].alias(c) for c in pages.columns]
+    url = F.col("page")["url"]
+    pages = pages.select(F.struct(*(f"`{c}`" for c in pages.columns)).alias("page"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
-    pages = pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("rule_says", says)
-    pages = pages.withColumn("canon", F.coalesce(canonical(F.col("url")), F.lit("")))
-    probed = pages.withColumn("bloom_block", _block(F.col("canon"), n_blocks)).join(bloom, "bloom_block", "left")
+    pages = pages.select("page", host_of(url).alias("host"), path_of(url).alias("path"), F.coalesce(canonical(url), F.lit("")).alias("canon"))
+    pages = pages.select("*", rule.alias("rule"), says.alias("rule_says"), _block(F.col("canon"), n_blocks).alias("bloom_block"))
+    probed = pages.join(bloom, "bloom_block", "left")
     want = _mask(F.col("canon"))
     probed = probed.withColumn("possible", F.coalesce(F.col("bloom_bits").bitwiseAND(want) == want, F.lit(False)))
     out = [*kept, "host", "path", "rule", F.coalesce("rule_says", F.when(F.col("in_list"), "block").otherwise("allow")).alias("verdict"), "in_list"]
