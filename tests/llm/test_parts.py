@@ -162,7 +162,7 @@ def test_maximal_segments(seed):
             split(where[1], b)
 
     split(0, n)
-    got = toxicity.maximal_segments(at, gain, 0.37)
+    got = toxicity.maximal_segments(s)
     assert [x[:2] for x in got] == [x[:2] for x in out] and np.allclose([x[2] for x in got], [x[2] for x in out])
 
 
@@ -251,13 +251,114 @@ def test_sketches_merge_and_compare_at_the_coarser_level():
 
 def test_counts_do_not_depend_on_the_cache():
     path = tokens.tokenizer_path()
-    small, large = tokens.Counter(path, {}, capacity=3), tokens.Counter(path, tokens.common_lengths(path))
+    small, large = tokens.Counter(path, {}, capacity=3), tokens.Counter(path, tokens.common_lengths(path, ["a", "b", "str", "0", ".", "abc"]))
     rng = random.Random(2)
     for _ in range(300):
         t = "".join(rng.choice("abcXYZ'stre  \n\t09é ÉßıſŒ<|>endoftext.,!?§½²ªº­\u0085 İΣς漢字🙂́") for _ in range(rng.randrange(0, 40)))
         assert small.count(t) == large.count(t) == large.whole(t)
 
 
+def test_mixed_scripts_count_as_the_library_counts():
+    counter = tokens.Counter(tokens.tokenizer_path(), {}, capacity=50)
+    rng = random.Random(6)
+    words = ["“quoted”", "naïve", "it’s", "it's", "—", "привет", "漢字かな", "한글", "ΣΑΣ", "🙂🙂", "e\u0301", "\u0301x", "İx", "<|endoftext|>", "a<|endoftext|>b", "x\u00a0y", "x\u2003'll", "plain", "WORDS", "12½", "\u200b", "x\u0085y", "…"]
+    for _ in range(400):
+        t = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t ", "\x0b", ""]) for _ in range(rng.randrange(30)))
+        assert counter.count(t) == counter.whole(t)
+
+
+def test_frequent_pre_tokens_are_counted_over_all_texts(spark):
+    docs = spark.createDataFrame([(k, "alpha beta alpha " + chr(97 + k % 26) * (k // 26 + 1)) for k in range(200)] + [(999, None)], "doc_id long, text string").repartition(7)
+    assert (tokens.frequent(docs, 3), tokens.frequent(docs, 5)) == (["alpha"], ["alpha", "beta"])
+    assert {r.n_tokens for r in tokens.token_counts(docs).where("doc_id = 999").collect()} == {0}
+
+
+def test_pages_keep_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", 5, 6, 7, "h")], "page_id long, url string, bloom_bits int, found int, canon int, host string").withColumn("page", F.lit(8)).withColumn("possible", F.lit(9))
+    row = urls.judge(pages, pages.select("url")).head()
+    assert (row.bloom_bits, row.found, row.canon, row.page, row.possible) == (5, 6, 7, 8, 9) and (row.host, row.verdict, row.in_list) == ("a.net", "block", True)
+
+
+def test_toxicity_against_brute_force(spark):
+    """Fit and score again with plain dictionaries and loops."""
+    rng = random.Random(9)
+    clean, bad = [f"w{k}" for k in range(40)], ["vile", "foul", "mean"]
+    rows = []
+    for i in range(160):
+        w = [rng.choice(clean) for _ in range(rng.randrange(4, 60))]
+        if i % 4 == 0:
+            w[rng.randrange(len(w))] = rng.choice(bad)
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w), int(i % 4 == 0)))
+    rows += [(200, rows[1][1], 1), (201, None, 0)]  # an equal text with another label; a null
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    label = {}
+    for _, t, y in rows:
+        label[t or ""] = max(y, label.get(t or "", 0))
+    n = {0: {}, 1: {}}
+    for t, y in label.items():
+        for x in set(t.split()):
+            n[y][x] = n[y].get(x, 0) + 1
+    total = [sum(n[y].values()) for y in (0, 1)]
+    score = {}
+    for x in {*n[0], *n[1]}:
+        c, prior, weight = [n[y].get(x, 0) for y in (0, 1)], toxicity.PRIOR * (n[0].get(x, 0) + n[1].get(x, 0)), toxicity.PRIOR * sum(total)
+        odds = [math.log((c[y] + prior) / (total[y] + weight - c[y] - prior)) for y in (0, 1)]
+        d, e = odds[1] - odds[0], toxicity.WIDTH * math.sqrt(1 / (c[1] + prior) + 1 / (c[0] + prior))
+        least = d - e if d > e else d + e if d < -e else 0
+        if least < -toxicity.LEAST_SCORE or c[1] > 1 and least > toxicity.LEAST_SCORE:
+            score[x] = least
+    w = text.words(*text.raw(pa.array([" ".join(sorted(score))])))
+    names = dict(zip(sorted(score), text.hash_spans(w.data, w.start, w.end).tolist()))
+    assert sorted(names.values()) == model.tokens.tolist()
+    assert np.allclose([model.scores[model.tokens.tolist().index(names[x])] for x in score], list(score.values()))
+    assert abs(sum((n[0].get(x, 0) + toxicity.PRIOR * (n[0].get(x, 0) + n[1].get(x, 0))) / (total[0] + toxicity.PRIOR * sum(total)) * (math.exp(model.rate * (s - model.drift)) - math.exp(-model.rate * model.drift)) for x, s in score.items()) + math.exp(-model.rate * model.drift) - 1) < 1e-6
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, t, y in rows:
+        w = (t or "").split()
+        s = [score.get(x, 0) - model.drift for x in w]
+        best = max((sum(s[a:b]) for a in range(len(s)) for b in range(a + 1, len(s) + 1)), default=-1)
+        e = model.log_k + math.log(max(len(w), 1)) - model.rate * best
+        if best <= 0:
+            assert abs(found[i] - model.probability(np.array([-10.0]))[0]) < 1e-9
+        elif e >= math.log(toxicity.SIGNIFICANT):
+            assert abs(found[i] - model.probability(np.array([max(-e, -10.0)]))[0]) < 1e-9
+        if t != rows[1][1]:
+            assert (found[i] >= 0.5) == (y == 1)
+
+
+def test_language_scores_against_brute_force(spark):
+    """Counts, word scores and labels again with plain dictionaries."""
+    rng = random.Random(10)
+    words = {"aa": ["baba", "dada", "gaga", "papa"], "oo": ["boso", "toto", "nono", "wöwo"]}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(rng.randrange(1, 12))).title(), g) for i in range(60) for g in ("aa", "oo")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = languages.fit(docs)
+    assert model.languages == ["aa", "oo"]
+
+    def grams(word):
+        b = b" " + word.encode() + b" "
+        for k in range(1, len(b)):
+            one, two = b[k - 1], b[k - 2] if k > 1 and b[k - 1] != 32 else 32
+            yield "pair", one << 8 | b[k]
+            yield "triple", ((two << 16 | one << 8 | b[k]) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - languages.TRIPLE_BITS
+
+    counts = {g: {} for g in words}
+    for _, t, g in rows:
+        for x in t.lower().split():
+            for key in grams(x):
+                counts[g][key] = counts[g].get(key, 0) + 1
+    room = {"pair": languages.PAIRS, "triple": 1 << languages.TRIPLE_BITS}
+    total = {(g, kind): sum(v for (k, _), v in counts[g].items() if k == kind) + languages.SMOOTH * room[kind] for g in words for kind in room}
+    tests = ["Baba toto nono.", "dada", "wöwo!", "xyz baba", "GAGA papa, papa toto toto toto nono nono boso boso boso"]
+    w = languages.letters_only(pa.array(tests))
+    got = languages.word_scores(w, model)
+    flat = [x for t in tests for x in "".join(c if c.isalpha() else " " for c in t.lower()).split()]
+    want = [[sum(math.log((counts[g].get(k, 0) + languages.SMOOTH) / total[g, k[0]]) for k in grams(x)) / 2 for g in model.languages] for x in flat]
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_licence_tree(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     filler = " ".join(f"word{k}" for k in range(60))
