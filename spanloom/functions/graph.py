@@ -14,6 +14,10 @@ import numpy as np
 from .isa import Decoded
 
 
+#: Addresses are kept as positive numbers of 40 bits; relative jumps of 32 bits cannot leave that range.
+ADDRESS_BASE = 1 << 33
+
+
 def csr(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Neighbour lists: those of node i are list[first[i]:first[i + 1]], ascending."""
     order = np.lexsort((b, a))
@@ -63,7 +67,7 @@ class Graph:
 
     @staticmethod
     def _key(image: np.ndarray, addr: np.ndarray) -> np.ndarray:
-        return image.astype(np.int64) << 40 | addr.astype(np.int64) + (1 << 20)
+        return image.astype(np.int64) << 40 | addr.astype(np.int64) + ADDRESS_BASE
 
     @property
     def succ(self) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +285,7 @@ def build(decoded: Decoded) -> Graph:
     n = len(inner) + len(outer)
     key = np.empty(n, np.int64)
     key[at], key[out_at] = inner, outer
-    image, addr = key >> 40, (key & (1 << 40) - 1) - (1 << 20)
+    image, addr = key >> 40, (key & (1 << 40) - 1) - ADDRESS_BASE
     row = np.zeros(n, bool)
     row[at] = True
 

@@ -75,21 +75,21 @@ def x86_subset(data: bytes, first: np.ndarray) -> Decoded:
     """A few 32-bit x86 instructions, enough for small hand-made images; everything else is undecodable."""
     image, addr, size = _places(first)
     n = len(addr)
-    length, kind = np.ones(n, np.int64), np.full(n, INVALID)
-    jump, has_jump = np.zeros(n, np.int64), np.zeros(n, bool)
-    for i in range(n):
-        op, left = data[i], size[i] - addr[i] + 1
-        what, total, relative = X86_OPCODES.get(op, (INVALID, 1, 0))
-        if op == 0xDD and left > 1 and 0xC0 <= data[i + 1] <= 0xC7:
-            what, total = SEQ, 2
-        if what == INVALID or total > left:
-            continue
-        kind[i], length[i] = what, total
-        if relative:
-            has_jump[i] = True
-            jump[i] = addr[i] + total + int.from_bytes(data[i + total - relative : i + total], "little", signed=True)
+    b = np.frombuffer(data + bytes(5), np.uint8).astype(np.int64)
+    at = np.arange(n)
+    op, left = b[:n], size - addr + 1
+    kinds, totals, relatives = (np.array([X86_OPCODES.get(x, (INVALID, 1, 0))[k] for x in range(256)]) for k in range(3))
+    kind, length, relative = kinds[op], totals[op], relatives[op]
+    two = (op == 0xDD) & (left > 1) & (b[1 : n + 1] >= 0xC0) & (b[1 : n + 1] <= 0xC7)
+    kind[two], length[two] = SEQ, 2
+    cut_off = (kind == INVALID) | (length > left)
+    kind[cut_off], length[cut_off], relative[cut_off] = INVALID, 1, 0
+    has_jump = relative > 0
+    long = (b[at + 1] | b[at + 2] << 8 | b[at + 3] << 16 | b[at + 4] << 24).astype(np.uint32).view(np.int32)
+    short = b[at + 1].astype(np.uint8).view(np.int8)
+    jump = np.where(has_jump, addr + length + np.where(relative == 4, long, short).astype(np.int64), 0)
     none = np.zeros(n, np.int64)
-    word = np.array([int.from_bytes(data[i : i + 4], "little") if size[i] - addr[i] >= 3 else -1 for i in range(n)], np.int64)
+    word = np.where(left >= 4, b[at] | b[at + 1] << 8 | b[at + 2] << 16 | b[at + 3] << 24, -1)
     return Decoded(image, addr, length, kind, (kind == SEQ) | (kind == COND) | (kind == CALL), has_jump, jump, none, none, size, word)
 
 

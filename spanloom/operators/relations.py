@@ -102,8 +102,15 @@ def callers(s: Superset) -> DataFrame:
     return with_fall(s.edge, s.insn).where("after <> dst").select("image_id", F.col("dst").alias("addr"), F.col("src").alias("caller"))
 
 
+def edges_with_fall(insn: DataFrame) -> DataFrame:
+    """Edges with the kind of their source and the address after it, read off the rows without a join, where the
+    edges are just those of the rows."""
+    targets = F.array_compact(F.array("fall", F.when(~F.col("jump").eqNullSafe(F.col("fall")), F.col("jump"))))
+    return insn.select("image_id", F.col("addr").alias("src"), "kind", (F.col("addr") + F.col("len")).alias("after"), F.explode(targets).alias("dst"))
+
+
 def callers_of_rows(insn: DataFrame) -> DataFrame:
-    """The same, without a join, where the edges are just those of the rows."""
+    """As ``callers``, without a join."""
     return insn.where("jump <> addr + len").select("image_id", F.col("jump").alias("addr"), F.col("addr").alias("caller"))
 
 

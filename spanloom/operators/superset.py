@@ -158,10 +158,47 @@ def decode_at(images: DataFrame, addrs: DataFrame, decoder: str = "t8") -> DataF
     return decode(images, decoder).join(addrs.distinct(), ["image_id", "addr"], "left_semi")
 
 
+def _prepared(invariants: tuple[str, ...] | None) -> Callable[[Graph], Graph]:
+    return (lambda g: g) if invariants is None else lambda g: graph.tag(g, invariants).trim()
+
+
+def edge_rows(images: DataFrame, decoder: str = "t8", invariants: tuple[str, ...] | None = None) -> DataFrame:
+    """(image_id, src, dst), made where the images are: no other column leaves Python.  invariants: trim by these first."""
+    ready = _prepared(invariants)
+
+    def step(g: Graph) -> dict[str, np.ndarray]:
+        g = ready(g)
+        return {"image": g.image[g.src], "src": g.addr[g.src], "dst": g.addr[g.dst]}
+
+    return per_image(images, step, "src long, dst long", decoder)
+
+
+def vertex_rows(images: DataFrame, decoder: str = "t8", invariants: tuple[str, ...] | None = None) -> DataFrame:
+    ready = _prepared(invariants)
+
+    def step(g: Graph) -> dict[str, np.ndarray]:
+        g = ready(g)
+        at = np.flatnonzero(g.vertex)
+        return {"image": g.image[at], "addr": g.addr[at]}
+
+    return per_image(images, step, "addr long", decoder)
+
+
+def conflict_rows(images: DataFrame, decoder: str = "t8", invariants: tuple[str, ...] | None = None) -> DataFrame:
+    """(image_id, owner, addr): vertices inside the instructions of the map, found without a shuffle."""
+    ready = _prepared(invariants)
+
+    def step(g: Graph) -> dict[str, np.ndarray]:
+        g = ready(g)
+        owner, node = g.body_nodes(g.row)
+        return {"image": g.image[owner], "owner": g.addr[owner], "addr": g.addr[node]}
+
+    return per_image(images, step, "owner long, addr long", decoder)
+
+
 def scan(images: DataFrame, decoder: str = "t8") -> Superset:
-    insn = decode(images, decoder)
-    vertex = vertices_of(insn)
-    return Superset(insn, edges_of(insn), vertex, vertex.limit(0))
+    vertex = vertex_rows(images, decoder)
+    return Superset(decode(images, decoder), edge_rows(images, decoder), vertex, vertex.limit(0))
 
 
 def trimmed_rows(images: DataFrame, fields: tuple[str, ...], decoder: str = "t8", invariants: tuple[str, ...] = tuple(graph.INVARIANTS)) -> DataFrame:
@@ -177,9 +214,8 @@ def _trimmed(invariants: tuple[str, ...]) -> Callable[[Graph], dict[str, np.ndar
 def trimmed(images: DataFrame, decoder: str = "t8", invariants: tuple[str, ...] = tuple(graph.INVARIANTS)) -> Superset:
     """Tagged and trimmed in the scan's own stage.  What survives has only surviving successors, and is in the
     map and in the graph."""
-    insn = per_image(images, _trimmed(invariants), _ROW_FIELDS, decoder)
-    vertex = insn.select("image_id", "addr")
-    return Superset(insn, edges_of(insn), vertex, vertex.limit(0))
+    vertex = vertex_rows(images, decoder, invariants)
+    return Superset(per_image(images, _trimmed(invariants), _ROW_FIELDS, decoder), edge_rows(images, decoder, invariants), vertex, vertex.limit(0))
 
 
 def body_bytes(insn: DataFrame) -> DataFrame:

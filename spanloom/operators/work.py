@@ -25,16 +25,28 @@ def capacity(free_mem: Column, cores: Column, outbound_mem: Column, outbound: Co
     return F.when((outbound < IN_FLIGHT) & (cores > 1) & (left - RESERVE > 0), left / PER_MIB)
 
 
-def nearest(hosts: DataFrame, work: DataFrame, cell: float = 1.0) -> DataFrame:
+def nearest(hosts: DataFrame, work: DataFrame, cells: int = 1_000) -> DataFrame:
     """hosts: hostname, want.  work: fname, size.  For each host the task whose size is nearest, the smaller of
     two equally near, the last name of equal sizes.
 
     Tasks are thinned to one per size and hosts to one per wish; both are put in one order of size, and the
-    nearest below and above are carried along it by windows over ranges of cells, so no pair is formed."""
+    nearest below and above are carried along it by windows over ranges of cells, so no pair is formed.  Cells are
+    quantiles of the points, so they hold about as many each; one window runs over one row per cell."""
     sizes = work.groupBy("size").agg(F.max("fname").alias("fname"))
     points = sizes.select(F.col("size").cast("double").alias("x"), F.struct(F.col("size").cast("double").alias("size"), "fname").alias("task"))
     wishes = hosts.where("want IS NOT NULL").select(F.col("want").cast("double").alias("x")).distinct().withColumn("task", F.lit(None).cast(points.schema["task"].dataType))
-    line = points.withColumn("wish", F.lit(False)).unionByName(wishes.withColumn("wish", F.lit(True))).withColumn("cell", F.floor(F.col("x") / cell))
+    line = points.withColumn("wish", F.lit(False)).unionByName(wishes.withColumn("wish", F.lit(True)))
+    found = line.agg(F.percentile_approx("x", [k / cells for k in range(1, cells)], 10 * cells).alias("q")).head().q
+    bounds = sorted(set(found or []))
+    # Two steps of about the square root of the bounds each find a point's cell.
+    wide = max(1, int(len(bounds) ** 0.5))
+    heads, groups = bounds[::wide], [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
+    if bounds:
+        group = F.size(F.filter(F.lit(heads), lambda b: b <= F.col("x")))
+        inside_group = F.size(F.filter(F.get(F.lit(groups), group - 1), lambda b: b <= F.col("x")))
+        line = line.withColumn("cell", F.when(group == 0, 0).otherwise((group - 1) * wide + inside_group))
+    else:
+        line = line.withColumn("cell", F.lit(0))
     # The last task below each cell and the first above it, over one row per cell.
     ends = line.groupBy("cell").agg(F.max_by("task", F.when(F.col("task").isNotNull(), F.col("x"))).alias("last"), F.min_by("task", F.when(F.col("task").isNotNull(), F.col("x"))).alias("first"))
     over = Window.orderBy("cell")
@@ -50,9 +62,3 @@ def nearest(hosts: DataFrame, work: DataFrame, cell: float = 1.0) -> DataFrame:
 def overdue(sent: DataFrame, now: Column) -> DataFrame:
     """Tasks to be sent again.  sent: fname, sent_at."""
     return sent.where(F.col("sent_at") < now - F.expr(f"INTERVAL {TIMEOUT_MIN} MINUTES"))
-
-
-def balanced(images: DataFrame, n: int) -> DataFrame:
-    """Images dealt over n partitions by weight: largest first, round robin over ranks within size classes."""
-    weight = F.floor(F.log2(F.greatest(F.octet_length("bytes"), F.lit(1))))
-    return images.withColumn("size_class", weight).repartition(n, "size_class", F.pmod(F.xxhash64("image_id"), F.lit(n))).drop("size_class")

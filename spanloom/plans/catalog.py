@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions import heuristics, walks
+from spanloom.functions import graph, heuristics, walks
 from spanloom.functions.heuristics import Options
 from spanloom.operators import closure, invariants, metrics, relations, work
-from spanloom.operators.superset import Superset, body_bytes, decode, scan, trimmed, trimmed_rows
+from spanloom.operators.superset import Superset, body_bytes, conflict_rows, decode, edge_rows, scan, trimmed, trimmed_rows
 from spanloom.sources import images, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,7 +132,15 @@ def body_bytes_query(spark, sf_dir):
 
 @_register("edges", _sql("SELECT image_id, src, dst FROM edge", "scan"))
 def edges(spark, sf_dir):
-    return _scan(spark, sf_dir).edge
+    return edge_rows(images.documents(spark, sf_dir))
+
+
+@_register("edges_by_rows", _sql("SELECT image_id, src, dst FROM edge", "scan", "conversations"))
+def edges_by_rows(spark, sf_dir):
+    """The same off the rows of the map."""
+    from spanloom.operators.superset import edges_of
+
+    return edges_of(decode(images.conversations(spark, sf_dir)))
 
 
 @_register("vertices", _sql("SELECT image_id, addr FROM vertex", "scan"))
@@ -170,6 +178,12 @@ for _name, _says, _where in (
     _register(_name, _sql(_where, "scan"))(lambda spark, sf_dir, says=_says: invariants.REGISTRY[says](_scan(spark, sf_dir)))
 
 
+@_register("inv_target_in_body_pages", _sql("SELECT DISTINCT image_id, src AS addr FROM tgt WHERE dst > src AND dst < src + len", "scan", "pages"))
+def inv_target_in_body_pages(spark, sf_dir):
+    """Over pages, whose slashes decode to calls into their own bodies."""
+    return invariants.REGISTRY["Tag target in body"](_scan(spark, sf_dir, "pages"))
+
+
 @_register("tagged", _sql("SELECT image_id, addr FROM bad", "marks", "conversations"))
 def tagged(spark, sf_dir):
     return invariants.tagged(_scan(spark, sf_dir, "conversations")).bad
@@ -246,21 +260,31 @@ def isg_to_list(spark, sf_dir):
 
 @_register("callers", _sql("SELECT image_id, addr, caller FROM caller"))
 def callers(spark, sf_dir):
-    return relations.callers(_live(spark, sf_dir))
+    return relations.callers_of_rows(trimmed_rows(images.documents(spark, sf_dir), ("addr", "len", "jump")))
+
+
+def _live_edges(spark, sf_dir) -> DataFrame:
+    return relations.edges_with_fall(trimmed_rows(images.documents(spark, sf_dir), ("addr", "len", "kind", "fall", "jump")))
 
 
 for _t in (0, 2, 6):
     _register(f"callsites_t{_t}", _sql(f"SELECT image_id, addr, count(*) AS callers FROM caller GROUP BY ALL HAVING count(*) > {_t}"))(lambda spark, sf_dir, t=_t: relations.callsites(relations.callers_of_rows(trimmed_rows(images.documents(spark, sf_dir), ("addr", "len", "jump"))), t))
 
 
+@_register("callsites_t6_untrimmed", _sql("SELECT e.image_id, e.dst AS addr, count(*) AS callers FROM edge e JOIN insn i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.addr + i.len <> e.dst GROUP BY ALL HAVING count(*) > 6", "scan"))
+def callsites_t6_untrimmed(spark, sf_dir):
+    """Before trimming, when more lead to one address."""
+    return relations.callsites(relations.callers_of_rows(_scan(spark, sf_dir).insn), 6)
+
+
 @_register("fall_through_edges", _sql("SELECT e.image_id, e.src, e.dst FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.addr + i.len = e.dst"))
 def fall_through_edges(spark, sf_dir):
-    return relations.fall_through_edges(_live(spark, sf_dir))
+    return _live_edges(spark, sf_dir).where("after = dst").select("image_id", "src", "dst")
 
 
 @_register("non_fall_through_edges", _sql("SELECT image_id, caller AS src, addr AS dst FROM caller"))
 def non_fall_through_edges(spark, sf_dir):
-    return relations.non_fall_through_edges(_live(spark, sf_dir))
+    return _live_edges(spark, sf_dir).where("after <> dst").select("image_id", "src", "dst")
 
 
 @_register("non_fall_through_edges_compat", _sql("SELECT e.image_id, max(e.src) AS src, e.dst FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.addr + i.len = e.dst GROUP BY e.image_id, e.dst"))
@@ -270,7 +294,18 @@ def non_fall_through_edges_compat(spark, sf_dir):
 
 @_register("discard_edges", _sql("SELECT e.image_id, e.src, e.dst FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.kind <> 'call' OR i.addr + i.len = e.dst"))
 def discard_edges(spark, sf_dir):
-    return relations.discard_edges(_live(spark, sf_dir))
+    return _live_edges(spark, sf_dir).where("kind <> 'call' OR after = dst").select("image_id", "src", "dst")
+
+
+@_register("fall_through_by_joins", _sql("SELECT e.image_id, e.src, e.dst FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.addr + i.len = e.dst", corpus="conversations"))
+def fall_through_by_joins(spark, sf_dir):
+    """The same for supersets of any origin, whose edges need not be those of their rows."""
+    return relations.fall_through_edges(_live(spark, sf_dir, "conversations"))
+
+
+@_register("discard_by_joins", _sql("SELECT e.image_id, e.src, e.dst FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.kind <> 'call' OR i.addr + i.len = e.dst", corpus="conversations"))
+def discard_by_joins(spark, sf_dir):
+    return relations.discard_edges(_live(spark, sf_dir, "conversations"))
 
 
 @_register("induced_subgraph", _sql("SELECT e.image_id, e.src, e.dst FROM ledge e SEMI JOIN free f ON e.image_id = f.image_id AND e.src = f.addr SEMI JOIN free h ON e.image_id = h.image_id AND e.dst = h.addr"))
@@ -285,7 +320,13 @@ def induced_subgraph(spark, sf_dir):
 
 @_register("conflicts", _sql("SELECT image_id, owner, addr FROM lconf"))
 def conflicts(spark, sf_dir):
-    return relations.conflicts(trimmed_rows(images.documents(spark, sf_dir), ("addr", "len")))
+    return conflict_rows(images.documents(spark, sf_dir), invariants=tuple(graph.INVARIANTS))
+
+
+@_register("conflicts_by_joins", _sql("SELECT image_id, owner, addr FROM lconf", corpus="conversations"))
+def conflicts_by_joins(spark, sf_dir):
+    """The same for maps of any origin."""
+    return relations.conflicts(trimmed_rows(images.conversations(spark, sf_dir), ("addr", "len")))
 
 
 @_register("conflicts_all", _sql("SELECT image_id, addr FROM cset"))
@@ -404,31 +445,40 @@ def linear_sweep(spark, sf_dir):
     return metrics.node_sets(images.conversations(spark, sf_dir), walks.linear_sweep, prepared=False)
 
 
-# Loops: mutual reachability is too large for SQL on whole tables; tests hold these against brute force.
+# Every cycle has an edge that does not rise.  The targets of such edges are closed over both ways, and where both
+# meet is their component; the least address names it.
+_LOOPS = """,
+fw AS (SELECT DISTINCT image_id, dst AS s, dst AS x FROM ledge WHERE dst <= src UNION SELECT f.image_id, f.s, e.dst FROM fw f JOIN ledge e ON e.image_id = f.image_id AND e.src = f.x),
+bw AS (SELECT DISTINCT image_id, dst AS s, dst AS x FROM ledge WHERE dst <= src UNION SELECT f.image_id, f.s, e.src FROM bw f JOIN ledge e ON e.image_id = f.image_id AND e.dst = f.x),
+scc AS (SELECT image_id, x AS addr, min(s) AS label FROM fw JOIN bw USING (image_id, s, x) GROUP BY ALL),
+comp AS (SELECT image_id, addr, min(addr) OVER (PARTITION BY image_id, label) AS loop, count(*) OVER (PARTITION BY image_id, label) AS members FROM scc),
+looped AS (SELECT * FROM comp WHERE members > 1)"""
 
 
-@_register("loops")
+@_register("loops", _sql("SELECT image_id, addr, loop, members FROM looped", extra=_LOOPS))
 def loops(spark, sf_dir):
     return relations.loop_sizes(metrics.loops(images.documents(spark, sf_dir), 1))
 
 
-@_register("loops_over_20")
+@_register("loops_over_20", _sql("SELECT image_id, addr, loop FROM comp WHERE members > 20", extra=_LOOPS))
 def loops_over_20(spark, sf_dir):
     return metrics.loops(images.documents(spark, sf_dir), heuristics.LOOP_SIZE)
 
 
-@_register("loops_with_break")
+@_register("loops_with_break", _sql("""SELECT a.image_id, a.addr FROM looped a SEMI JOIN (SELECT e.image_id, l.loop FROM ledge e JOIN looped l ON e.image_id = l.image_id AND e.src = l.addr
+LEFT JOIN looped m ON e.image_id = m.image_id AND e.dst = m.addr WHERE m.loop IS DISTINCT FROM l.loop) b ON a.image_id = b.image_id AND a.loop = b.loop""", extra=_LOOPS))
 def loops_with_break(spark, sf_dir):
     return metrics.node_sets(images.documents(spark, sf_dir), heuristics.loops_with_break)
 
 
-@_register("loop_contradictions")
+@_register("loop_contradictions", _sql("""SELECT DISTINCT c.image_id, c.addr FROM lconf c SEMI JOIN looped l ON c.image_id = l.image_id AND c.owner = l.addr
+SEMI JOIN (SELECT e.image_id, e.src FROM ledge e SEMI JOIN looped l ON e.image_id = l.image_id AND e.dst = l.addr) p ON c.image_id = p.image_id AND c.addr = p.src ANTI JOIN looped o ON c.image_id = o.image_id AND c.addr = o.addr""", extra=_LOOPS))
 def loop_contradictions(spark, sf_dir):
     """With loops of more than one member, as the images have few over twenty."""
     return metrics.node_sets(images.documents(spark, sf_dir), lambda g: heuristics.loop_contradictions(g, 1).bad)
 
 
-@_register("loop_parents")
+@_register("loop_parents", _sql("SELECT DISTINCT e.image_id, e.src AS addr FROM ledge e SEMI JOIN looped l ON e.image_id = l.image_id AND e.dst = l.addr ANTI JOIN looped o ON e.image_id = o.image_id AND e.src = o.addr", extra=_LOOPS))
 def loop_parents(spark, sf_dir):
     source = images.documents(spark, sf_dir)
     return relations.parents_outside(trimmed(source).edge, metrics.loops(source, 1).select("image_id", "addr"))
@@ -450,13 +500,18 @@ for _name, _of in {
 
 
 def _features(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The extractors that SQL can follow; those that depend on the order of a walk have queries of their own."""
     source = images.documents(spark, sf_dir)
     s = trimmed(source)
-    return {"UnfilteredGrammar": relations.branches(s), "FixpointGrammar": relations.branches(s), "Clamped": relations.free_insns(s), "ImgEntry": s.insn.where("addr = 1"), "Constant": relations.constants(s, decode(source)).select("image_id", F.col("value").alias("addr")).distinct()}
+    of = lambda name: metrics.node_sets(source, heuristics.EXTRACTORS[name])
+    return {"NoExit": of("NoExit"), "Liveness": of("Liveness"), "LoopsWithBreak": of("LoopsWithBreak"), "Callsites3": of("Callsites3"), "UnfilteredGrammar": relations.branches(s), "FixpointGrammar": relations.branches(s), "Clamped": relations.free_insns(s), "ImgEntry": s.insn.where("addr = 1"), "Constant": relations.constants(s, decode(source)).select("image_id", F.col("value").alias("addr")).distinct()}
 
 
-_EVIDENCE = """,
-ev AS (SELECT image_id, addr, 2 AS weight, 'UnfilteredGrammar' AS feature FROM deg WHERE out_ >= 2 UNION ALL SELECT image_id, addr, 1, 'FixpointGrammar' FROM deg WHERE out_ >= 2
+_EVIDENCE = _ENTRY_CLOSURE + _LIVE_ROWS + _LOOPS + """,
+ev AS (SELECT image_id, addr, 2 AS weight, 'NoExit' AS feature FROM live ANTI JOIN c USING (image_id, addr) UNION ALL SELECT DISTINCT image_id, addr, 1, 'Liveness' FROM lv
+       UNION ALL SELECT a.image_id, a.addr, 2, 'LoopsWithBreak' FROM looped a SEMI JOIN (SELECT e.image_id, l.loop FROM ledge e JOIN looped l ON e.image_id = l.image_id AND e.src = l.addr
+       LEFT JOIN looped m ON e.image_id = m.image_id AND e.dst = m.addr WHERE m.loop IS DISTINCT FROM l.loop) b ON a.image_id = b.image_id AND a.loop = b.loop
+       UNION ALL SELECT image_id, addr, 2, 'Callsites3' FROM caller GROUP BY ALL HAVING count(*) > 6 UNION ALL SELECT image_id, addr, 2 AS weight, 'UnfilteredGrammar' AS feature FROM deg WHERE out_ >= 2 UNION ALL SELECT image_id, addr, 1, 'FixpointGrammar' FROM deg WHERE out_ >= 2
        UNION ALL SELECT image_id, addr, 2, 'Clamped' FROM free UNION ALL SELECT image_id, addr, 2, 'ImgEntry' FROM live WHERE addr = 1
        UNION ALL SELECT DISTINCT i.image_id, i.word, 2, 'Constant' FROM insn i SEMI JOIN live v ON i.image_id = v.image_id AND i.word = v.addr)"""
 _TRUTH = """,
@@ -557,6 +612,62 @@ def pipeline_round1(spark, sf_dir):
     return metrics.survivors(images.documents(spark, sf_dir), _PLAIN)
 
 
+@_register("pipeline_no_exit", _sql("SELECT image_id, addr FROM live ANTI JOIN gone USING (image_id, addr)", extra=_ENTRY_CLOSURE + _closure("gone", "SELECT image_id, addr FROM live ANTI JOIN c USING (image_id, addr)", False)))
+def pipeline_no_exit(spark, sf_dir):
+    """One round that drops whatever can run into what reaches no end."""
+    return metrics.survivors(images.documents(spark, sf_dir), Options(heuristics=("NoExit",), analyses=(), rounds=1, converge=False))
+
+
+@_register("pipeline_callsites", _sql("SELECT image_id, addr FROM live"))
+def pipeline_callsites(spark, sf_dir):
+    """The callsites' marker only clears marks, so a round of it keeps all."""
+    return metrics.survivors(images.documents(spark, sf_dir), Options(heuristics=("Callsites3",), analyses=(), rounds=1, converge=False))
+
+
+@_register("pipeline_converge", _sql("SELECT image_id, addr FROM live ANTI JOIN gone USING (image_id, addr)", extra=_FREE_CLOSURE + _SPARED + f", m AS ({_BODIES}), k AS (SELECT image_id, addr FROM m ANTI JOIN p USING (image_id, addr))" + _closure("gone", "SELECT image_id, addr FROM k", False)))
+def pipeline_converge(spark, sf_dir):
+    """Convergence on what is clamped: at a threshold of one point all evidence counts as known."""
+    return metrics.survivors(images.documents(spark, sf_dir), Options(heuristics=("Clamped",), analyses=(), rounds=1, tp_threshold=0.0))
+
+
+@_register("pipeline_loops", _sql("SELECT image_id, addr FROM live ANTI JOIN gone USING (image_id, addr)", extra=_LOOPS + """,
+k AS (SELECT DISTINCT c.image_id, c.addr FROM lconf c SEMI JOIN (SELECT * FROM comp WHERE members > 20) l ON c.image_id = l.image_id AND c.owner = l.addr
+SEMI JOIN (SELECT e.image_id, e.src FROM ledge e SEMI JOIN (SELECT * FROM comp WHERE members > 20) l ON e.image_id = l.image_id AND e.dst = l.addr) q ON c.image_id = q.image_id AND c.addr = q.src
+ANTI JOIN (SELECT * FROM comp WHERE members > 20) o ON c.image_id = o.image_id AND c.addr = o.addr)""" + _closure("gone", "SELECT image_id, addr FROM k", False)))
+def pipeline_loops(spark, sf_dir):
+    """The analysis of loops alone, with its own least size."""
+    return metrics.survivors(images.documents(spark, sf_dir), Options(heuristics=(), rounds=1, converge=False))
+
+
+_SUMMARY = _TRUTH + _ROUND + """,
+fin AS (SELECT * FROM live ANTI JOIN gone USING (image_id, addr)),
+fedge AS (SELECT e.* FROM ledge e SEMI JOIN fin f ON e.image_id = f.image_id AND e.src = f.addr),
+fconf AS (SELECT b.* FROM lbody b SEMI JOIN fin f ON b.image_id = f.image_id AND b.addr = f.addr SEMI JOIN fin o ON b.image_id = o.image_id AND b.owner = o.addr)""" + _closure("dirty", "SELECT DISTINCT image_id, owner AS addr FROM fconf", False, "fedge") + """,
+part AS (
+  SELECT image_id, 'n_entrances' AS what, count(*) AS v FROM ent GROUP BY image_id
+  UNION ALL SELECT image_id, 'size', max(n) FROM insn GROUP BY image_id
+  UNION ALL SELECT image_id, 'occlusive_space', sum(len) FROM truth JOIN fin USING (image_id, addr) GROUP BY image_id
+  UNION ALL SELECT image_id, 'reduced_occlusion', count(*) FROM fconf SEMI JOIN truth t ON fconf.image_id = t.image_id AND fconf.owner = t.addr GROUP BY image_id
+  UNION ALL SELECT image_id, 'n_clean', count(*) FROM ent ANTI JOIN dirty USING (image_id, addr) GROUP BY image_id
+  UNION ALL SELECT image_id, 'n_occluded', count(*) FROM ent SEMI JOIN fconf USING (image_id, addr) GROUP BY image_id
+  UNION ALL SELECT image_id, 'true_positives', count(*) FROM truth SEMI JOIN fin USING (image_id, addr) GROUP BY image_id
+  UNION ALL SELECT image_id, 'false_negatives', count(*) FROM truth ANTI JOIN fin USING (image_id, addr) GROUP BY image_id
+  UNION ALL SELECT image_id, 'false_positives', count(*) FROM fin ANTI JOIN truth USING (image_id, addr) GROUP BY image_id
+  UNION ALL SELECT image_id, 'survivors', count(*) FROM fin GROUP BY image_id
+),
+summary AS (SELECT image_id, """ + ", ".join(f"coalesce(sum(v) FILTER (what = '{c.split()[0]}'), 0)::BIGINT AS {c.split()[0]}" for c in metrics.SUMMARY.split(", ")) + """ FROM part GROUP BY image_id)"""
+
+
+@_register("metrics_round1", _sql("SELECT * FROM summary", extra=_SUMMARY))
+def metrics_round1(spark, sf_dir):
+    return metrics.run_summary(images.documents(spark, sf_dir), _PLAIN)
+
+
+@_register("rollup_round1", _sql("SELECT sum(false_negatives)::BIGINT AS total_false_negatives, sum(occlusive_space) / count(*) AS mean_occlusive_space, count(*) AS images FROM summary", extra=_SUMMARY))
+def rollup_round1(spark, sf_dir):
+    return sinks.corpus_rollup(metrics.run_summary(images.documents(spark, sf_dir), _PLAIN))
+
+
 @_register("pipeline_full")
 def pipeline_full(spark, sf_dir):
     return metrics.survivors(images.documents(spark, sf_dir), Options())
@@ -590,6 +701,50 @@ def isg_dot(spark, sf_dir):
     return sinks.dot_lines(_live(spark, sf_dir))
 
 
+@_register("isg_dot_judged", _sql("""SELECT image_id, '"' || addr || '" [shape=box, height=' || len || ', color="' || CASE WHEN (image_id, addr) IN (SELECT (image_id, addr) FROM truth) THEN 'green' ELSE 'yellow' END || '"];' AS line FROM live
+UNION ALL SELECT image_id, '"' || src || '" -> "' || dst || '";' FROM ledge""", extra=_TRUTH))
+def isg_dot_judged(spark, sf_dir):
+    return sinks.judged_dot_lines(_live(spark, sf_dir), _truth(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- a second instruction set
+
+_X86 = f"""
+WITH RECURSIVE src AS (SELECT doc_id AS image_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL),
+hx AS (SELECT image_id, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::INT) AS l FROM src),
+by0 AS (SELECT image_id, 32 AS n, l, unnest(l) AS b, generate_subscripts(l, 1) AS addr FROM hx),
+by1 AS (SELECT *, CASE WHEN b BETWEEN 80 AND 95 OR b IN (144, 248, 249, 252, 253) THEN ['seq','1','0'] WHEN b IN (45, 5) THEN ['seq','5','0'] WHEN b = 195 THEN ['ret','1','0'] WHEN b = 233 THEN ['jmp','5','4']
+  WHEN b = 235 THEN ['jmp','2','1'] WHEN b = 232 THEN ['call','5','4'] WHEN b BETWEEN 112 AND 127 THEN ['cond','2','1'] WHEN b = 221 AND l[addr + 1] BETWEEN 192 AND 199 THEN ['seq','2','0'] ELSE ['invalid','1','0'] END AS w FROM by0),
+by2 AS (SELECT *, CASE WHEN addr + w[2]::INT - 1 > n THEN 'invalid' ELSE w[1] END AS kind, w[2]::INT AS total, w[3]::INT AS rel FROM by1),
+insn AS MATERIALIZED (
+  SELECT image_id, addr::BIGINT AS addr, CASE WHEN kind = 'invalid' THEN 1 ELSE total END::INT AS len, kind <> 'invalid' AS valid, kind,
+         CASE WHEN kind IN ('cond','call','seq') THEN addr + total END::BIGINT AS fall,
+         CASE WHEN kind IN ('jmp','cond','call') THEN addr + total + CASE WHEN rel = 1 THEN l[addr + 1] - CASE WHEN l[addr + 1] > 127 THEN 256 ELSE 0 END
+              ELSE l[addr + 1] + 256 * l[addr + 2] + 65536 * l[addr + 3] + 16777216::BIGINT * (l[addr + 4] - CASE WHEN l[addr + 4] > 127 THEN 256 ELSE 0 END) END END::BIGINT AS jump, n::BIGINT AS n
+  FROM by2
+),
+tgt AS (SELECT image_id, n, len, addr AS src, fall AS dst FROM insn WHERE fall IS NOT NULL UNION SELECT image_id, n, len, addr, jump FROM insn WHERE jump IS NOT NULL),
+edge AS MATERIALIZED (SELECT image_id, src, dst FROM tgt)"""
+
+
+@_register("x86_decode", _X86 + "\nSELECT image_id, addr, len, valid, kind, fall, jump, n FROM insn")
+def x86_decode(spark, sf_dir):
+    """Random bytes by the x86 subset; targets lie up to 2 ** 31 away on either side."""
+    return decode(images.hashes(spark, sf_dir), "x86").select("image_id", "addr", "len", "valid", "kind", "fall", "jump", "n")
+
+
+@_register("x86_inv_target_in_body", _X86 + "\nSELECT DISTINCT image_id, src AS addr FROM tgt WHERE dst > src AND dst < src + len")
+def x86_inv_target_in_body(spark, sf_dir):
+    return invariants.REGISTRY["Tag target in body"](scan(images.hashes(spark, sf_dir), "x86"))
+
+
+@_register("x86_trim", _X86 + _MARKS + """,
+dead AS (SELECT image_id, addr FROM bad UNION SELECT e.image_id, e.src FROM edge e JOIN dead d ON e.image_id = d.image_id AND e.dst = d.addr)
+SELECT image_id, addr, len, kind FROM insn ANTI JOIN dead USING (image_id, addr)""")
+def x86_trim(spark, sf_dir):
+    return trimmed_rows(images.hashes(spark, sf_dir), ("addr", "len", "kind"), "x86")
+
+
 @_register("digests", "SELECT doc_id AS image_id, md5(text) || 'text' AS digest FROM documents WHERE text IS NOT NULL")
 def digests(spark, sf_dir):
     return sinks.digests(images.documents(spark, sf_dir))

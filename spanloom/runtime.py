@@ -28,10 +28,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """Use the cluster's ``spark.checkpoint.dir``; where that is unset, a folder of our own in local mode only, as
+    executors on other machines could not read it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-ckpt-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spanloom-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,11 +59,23 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame
     return F.broadcast(df) if rows <= limit else df
 
 
+#: Scans of more than this are left as they are dealt.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Dealt over all cores, where a scan has fewer partitions than there are cores (one small file, say)."""
+    """Dealt over all cores, where a small scan has fewer partitions than there are cores (one file, say)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

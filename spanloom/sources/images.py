@@ -28,7 +28,12 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_column(table(spark, sf_dir, "conversations"), F.col("conv_id") * 1000 + F.col("turn"), F.col("text"))
 
 
-CORPORA = {"documents": documents, "pages": pages, "conversations": conversations}
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 bytes of each document's SHA-256, which take all values."""
+    return from_column(table(spark, sf_dir, "documents").where("text IS NOT NULL"), F.col("doc_id"), F.unhex(F.sha2("text", 256)))
+
+
+CORPORA = {"documents": documents, "pages": pages, "conversations": conversations, "hashes": hashes}
 
 
 def from_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

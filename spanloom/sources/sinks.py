@@ -33,6 +33,13 @@ def dot_lines(s: Superset, colours: dict[str, DataFrame] | None = None) -> DataF
 JUDGED_COLOURS = {"false negatives": "red", "true positives": "green", "false positives": "yellow"}
 
 
+def judged_dot_lines(s: Superset, truth: DataFrame) -> DataFrame:
+    """The graph with its nodes coloured by ground truth."""
+    wrong = s.insn.select("image_id", "addr").join(truth, ["image_id", "addr"], "left_anti")
+    lost = truth.join(s.insn, ["image_id", "addr"], "left_anti")
+    return dot_lines(s, {JUDGED_COLOURS["true positives"]: truth, JUDGED_COLOURS["false positives"]: wrong, JUDGED_COLOURS["false negatives"]: lost})
+
+
 def digests(images: DataFrame, options: Options | None = None) -> DataFrame:
     """(image_id, digest): of the bytes and the loader; with options, of all that shapes the result."""
     if options is None:
