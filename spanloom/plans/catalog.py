@@ -267,16 +267,10 @@ def _live_edges(spark, sf_dir) -> DataFrame:
     return relations.edges_with_fall(trimmed_rows(images.documents(spark, sf_dir), ("addr", "len", "kind", "fall", "jump")))
 
 
-for _t in (0, 2, 6):
+for _t in (0, 2, 4, 6):
     _register(f"callsites_t{_t}", _sql(f"SELECT image_id, addr, count(*) AS callers FROM caller GROUP BY ALL HAVING count(*) > {_t}"))(lambda spark, sf_dir, t=_t: relations.callsites(relations.callers_of_rows(trimmed_rows(images.documents(spark, sf_dir), ("addr", "len", "jump"))), t))
 
 
-@_register("callsites_t6_untrimmed", _sql("SELECT e.image_id, e.dst AS addr, count(*) AS callers FROM edge e JOIN insn i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.addr + i.len <> e.dst GROUP BY ALL HAVING count(*) > 6", "scan"))
-def callsites_t6_untrimmed(spark, sf_dir):
-    """Before trimming, when more lead to one address."""
-    return relations.callsites(relations.callers_of_rows(_scan(spark, sf_dir).insn), 6)
-
-
 @_register("fall_through_edges", _sql("SELECT e.image_id, e.src, e.dst FROM ledge e JOIN live i ON e.image_id = i.image_id AND e.src = i.addr WHERE i.addr + i.len = e.dst"))
 def fall_through_edges(spark, sf_dir):
     return _live_edges(spark, sf_dir).where("after = dst").select("image_id", "src", "dst")

@@ -66,7 +66,7 @@ SPREAD_BYTES = 1 << 30
 def spread(df: DataFrame) -> DataFrame:
     """Dealt over all cores, where a small scan has fewer partitions than there are cores (one file, say)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD_BYTES:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
