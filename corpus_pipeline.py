@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import benchmarks, languages, mixing, simhash, substrings
-from spanloom.runtime import ensure_checkpoint_dir
+from spanloom.runtime import ensure_checkpoint_dir, remove_folder
 
 STAGES = [
     ("language_id", languages.stage),
@@ -26,10 +26,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other; a stage's rows are deleted once the next one's are written.
+
+    Null texts and texts without a letter go in the first stage, so none reaches the others; of repeated rows one
+    stays; documents with a null id are kept by near-dedup and left whole by substring dedup; ties go to the
+    least id; empty tables give an empty result; only the columns of documents are read, whatever else is there.
+    """
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before:
+            remove_folder(spark, f"{base}/{before}")
+        before = name
     return docs
