@@ -6,9 +6,9 @@ The perfect binary Golay code of length 23 turns such errors into equal keys: ``
 are the codeword indices of all words within one bit of it.  Segments up to two bits apart share a near
 key, and the ``own`` index of a segment is a near key of every segment within one bit.  So pairs meet on
   - one segment equal and a shared near key of another (six ordered choices), or
-  - own index of one segment among the other's near keys, the reverse on a second (three choices), and a
-    shared near key of the third, which then has one or two errors.  That makes these keys 36 bits long, so
-    that the number of unlike fingerprints that meet stays small at any size.
+  - own index of one segment among the other's near keys, the reverse on a second (three choices), and one of
+    three parts of the third equal, which then has one or two errors.  That makes these keys 31 bits long, so
+    that the number of unlike fingerprints that meet stays small.
 Every pair that meets is verified by counting differing bits, within the join, and only fingerprints that
 differ take part: equal ones are one class from the start.
 
@@ -159,10 +159,13 @@ def keys_of(fp: np.ndarray, golay: Golay, left: bool) -> tuple[np.ndarray, np.nd
         keys.append(kind << 40 | seg[a][r] << 12 | near[b][r, c])
     for kind, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), 6):
         one, many, third = (a, b, 3 - a - b) if left else (b, a, 3 - a - b)
-        r, c, d = np.nonzero((near[many] >= 0)[:, :, None] & (near[third] >= 0)[:, None, :])
-        rows.append(r)
+        r, c = np.nonzero(near[many] >= 0)
         first, second = (own[one][r], near[many][r, c]) if left else (near[many][r, c], own[one][r])
-        keys.append(kind << 40 | first << 24 | second << 12 | near[third][r, d])
+        both = kind << 40 | first << 24 | second << 12
+        # Of the third segment, with two errors at most, one of three parts is intact.
+        for part in range(3):
+            rows.append(r)
+            keys.append(both | part << 9 | (seg[third][r] >> 7 * part) & (0xFF if part == 2 else 0x7F))
     return np.concatenate(rows), np.concatenate(keys)
 
 

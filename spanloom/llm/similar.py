@@ -9,8 +9,10 @@ is random, so far fewer serve: of r > q rare shingles the first K all miss with
 that bound are keys.  For most texts that is 13 keys, whatever their length.
 
 Every pair that shares a key is compared, whatever the size of the input: the key's places in both orders tell
-how large the overlap can be at most, and pairs that can reach 0.8 are verified by their whole sets.  So no
-link is wrong, and a pair is lost with a chance of at most 2 * MISS.
+how large the overlap can be at most, and a SimHash of 128 bits over the shingles, of which such a pair differs
+in 19 on average with a deviation of 4, passes over pairs that differ in more than FAR (5.6 deviations; texts of
+under FEW shingles are not judged by it).  What is left is verified by the whole sets.  So no link is wrong, and
+a pair is lost with a chance of about 1e-8.
 
 As in op6, stars come first: members of a key are compared with its least member.  Then the members of keys
 that still hold several components are compared with each other inside the join, so a large group of near
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from spanloom.runtime import cut, maybe_broadcast, release, ship
 
 from .components import components, join_facts
+from .simhash import majority
 from .text import LOWER, hash_spans, mix, odd_constants, pieces, raw, words
 
 SHINGLE_WORDS = 5
@@ -43,6 +46,9 @@ MISS = 1e-9
 #: Texts sampled for common shingles, and the share (and number) of them that makes a shingle common.
 SAMPLE_ROWS, COMMON_SHARE, COMMON_LEAST = 20_000, 1 / 500, 8
 
+#: The most of 128 bits in which a pair may differ, and the shingles from which that holds.
+FAR, FEW = 42, 24
+
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -108,24 +114,24 @@ def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """a, s1, s2 (the text's hashes), n, keys, places: how many shingles each text has, its keys and their places
-    in its order.  Texts without words are left out."""
+    """a, t1, t2 (the text's hashes), n, keys, places, s1, s2: how many shingles each text has, its keys and their
+    places in its order, and the bits set in most of its shingles.  Texts without words are left out."""
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 doc, shingle, last = shingle_sets(*raw(part.column("text")), held.value)
+                per_text = np.bincount(doc, minlength=part.num_rows)
+                bits = [pa.array(majority(h, per_text).view(np.int64)) for h in (shingle, mix(shingle ^ np.uint64(1)))]
                 kept, at, n = key_places(doc, last, part.num_rows)
-                doc, shingle, at, n = doc[kept], shingle[kept], at[kept], n[kept]
+                doc, shingle, at = doc[kept], shingle[kept], at[kept]
                 ends = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
-                of = np.zeros(part.num_rows, np.int32)
-                of[doc] = n
                 lists = [pa.ListArray.from_arrays(ends, pa.array(shingle.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("s1"), part.column("s2"), pa.array(of), *lists], ["a", "s1", "s2", "n", "keys", "places"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t1"), part.column("t2"), pa.array(per_text.astype(np.int32)), *lists, *bits], ["a", "t1", "t2", "n", "keys", "places", "s1", "s2"])
 
-    sealed = _texts(docs).withColumns({"s1": F.xxhash64("text"), "s2": F.xxhash64(F.lit(1), "text")})
-    return sealed.mapInArrow(run, "a long, s1 long, s2 long, n int, keys array<long>, places array<int>").where("n > 0")
+    sealed = _texts(docs).withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+    return sealed.mapInArrow(run, "a long, t1 long, t2 long, n int, keys array<long>, places array<int>, s1 long, s2 long").where("n > 0")
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -147,7 +153,13 @@ def _enough(shared: Column, n_a: Column, n_b: Column) -> Column:
 
 def _may() -> Column:
     """Whether a and b can overlap enough if the key is the first shingle they share; it is for one key of each pair that does."""
-    return _enough(F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")), F.col("n"), F.col("n_b"))
+    reach = _enough(F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")), F.col("n"), F.col("n_b"))
+    apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in ("s1", "s2"))
+    return reach & ((F.least("n", "n_b") < FEW) | (apart <= FAR))
+
+
+#: What is known of a text beside each of its keys.
+_OF = ("a", "n", "at", "s1", "s2")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -166,22 +178,22 @@ def similar_links(docs: DataFrame, equal: bool = False) -> DataFrame:
     """(a, b): links that join all different texts of enough overlap; every link is verified.  equal: also from
     each document to the least one of the same text."""
     packed = cut(keyed(docs, common_shingles(docs, docs.count())))
-    first = packed.groupBy("s1", "s2").agg(F.min("a").alias("b"))
+    first = packed.groupBy("t1", "t2").agg(F.min("a").alias("b"))
     own = packed.join(first.select(F.col("b").alias("a")), "a", "left_semi")
-    rows = own.select("a", "n", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "a", "n", F.col("k.places").alias("at"))
-    heads = rows.groupBy("key").agg(F.min(F.struct("a", "n", "at")).alias("head"), F.max("a").alias("most"), F.count(F.lit(1)).alias("size")).where("head.a < most")
-    heads = cut(heads.select("key", F.col("head.a").alias("b"), F.col("head.n").alias("n_b"), F.col("head.at").alias("at_b"), "size"))
+    rows = own.select("a", "n", "s1", "s2", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "a", "n", F.col("k.places").alias("at"), "s1", "s2")
+    heads = rows.groupBy("key").agg(F.min(F.struct(*_OF)).alias("head"), F.max("a").alias("most"), F.count(F.lit(1)).alias("size")).where("head.a < most")
+    heads = cut(heads.select("key", *(F.col(f"head.{c}").alias("b" if c == "a" else f"{c}_b") for c in _OF), "size"))
     shared = cut(join_facts(rows, heads, "key", "size"))
     release(docs.sparkSession)
     stars = verified(shared.where("a <> b").where(_may()).select("a", "b"), docs)
     roots = components(stars).select(F.col("node").alias("a"), "root")
-    placed = shared.select("key", "a", "n", "at").join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    placed = shared.select("key", *_OF).join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
     several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = cut(placed.join(several, "key", "left_semi"))
-    right = left.select("key", *(F.col(c).alias(f"{c}_b") for c in ("a", "n", "at", "root")))
+    right = left.select("key", *(F.col(c).alias(f"{c}_b") for c in (*_OF, "root")))
     met = left.join(right, (left.key == right.key) & (F.col("a") < F.col("a_b")) & (F.col("root") != F.col("root_b")) & _may())
     found = stars.unionByName(verified(met.select("a", F.col("a_b").alias("b")), docs))
-    return found.unionByName(packed.join(first, ["s1", "s2"]).where("a <> b").select("a", "b")) if equal else found
+    return found.unionByName(packed.join(first, ["t1", "t2"]).where("a <> b").select("a", "b")) if equal else found
 
 
 def near_copies(docs: DataFrame, among: DataFrame) -> DataFrame:
