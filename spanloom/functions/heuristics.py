@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from . import walks
+from . import isa, walks
 from .graph import INVARIANTS, Graph, tag
 
 #: A large loop has more members than this; a callsite more callers.
@@ -92,13 +92,25 @@ def trim_limited_clamped(g: Graph) -> Graph:
     return marked.with_(bad=marked.bad & ~spared)
 
 
+def mark_lineage_bodies(g: Graph, seeds: np.ndarray, always: bool = False) -> Graph:
+    """From a clean slate, marks the bodies of what seeds lead to, and spares what seeds or callsites lead to.
+    The lineage of callsites is not walked; always: the seeds in it still have their own bodies marked."""
+    spared = g.close(g.callsites(0), forward=True)
+    lineage = g.close(seeds, forward=True)
+    walked = lineage & ~spared | (seeds & g.vertex if always else False)
+    marked = g.with_(bad=np.zeros(g.n, bool)).mark(g.mask(g.body_nodes(walked)[1]))
+    return marked.with_(bad=marked.bad & ~lineage & ~spared)
+
+
 def trim_descendant_features(g: Graph, extract: Extractor, depth: int) -> Graph:
-    """From a clean slate, marks the bodies of what features lead to that are themselves led to, and spares
-    their lineage (the older generation's markers, with depth 10 for branches)."""
-    features = walks.descendant_features(g, extract(g), depth)
-    lineage = g.close(features, forward=True)
-    marked = g.with_(bad=np.zeros(g.n, bool)).mark_bodies(features)
-    return marked.with_(bad=marked.bad & ~lineage)
+    """The older generation's markers: by features that others lead to, depth times over."""
+    return mark_lineage_bodies(g, walks.descendant_features(g, extract(g), depth))
+
+
+def discard_edges(g: Graph) -> Graph:
+    """Without the edges that leave a call other than by falling through."""
+    kept = (g.kind[g.src] != isa.CALL) | g.is_fall_edge()
+    return g.with_(src=g.src[kept], dst=g.dst[kept], _next=None, _prev=None)
 
 
 MARKERS: dict[str, Marker] = {
@@ -109,6 +121,26 @@ MARKERS: dict[str, Marker] = {
 }
 
 
+#: Names and depths of the older generation.  Those that rest on predicates without a definition
+#: (layer and branch violations, filtered and loop grammar, tails) are not known.
+OLD_EXTRACTORS: dict[str, Extractor] = {**{name: f for name, f in EXTRACTORS.items() if name != "Liveness"}, "FixpointFreevarSSA": walks.definers}
+OLD_MAPS: dict[str, Callable[[Graph], dict[int, int]]] = {"SSA": walks.def_use, "FreeVarSSA": walks.def_use}
+OLD_MARKERS: dict[str, Marker] = {
+    **MARKERS,
+    "DiscardEdges": discard_edges,
+    "TrimFixpointGrammar": lambda g: trim_descendant_features(g, lambda x: x.branches(), 10),
+    "TrimFixpointSSA": lambda g: trim_descendant_features(g, walks.definers, 6),
+    "TrimFixpointFreevarSSA": lambda g: trim_descendant_features(g, walks.definers, 6),
+}
+
+
+def apply_old_features(g: Graph, features: tuple[str, ...], threshold: int = OLD_THRESHOLD) -> Graph:
+    """Weighs features by the older generation's points and marks the bodies of what the nodes over the threshold
+    lead to; nothing is removed yet."""
+    total = walks.running_evidence(g, evidence_total(g, features, OLD_EXTRACTORS, OLD_WEIGHTS))
+    return mark_lineage_bodies(g, total > threshold, always=True)
+
+
 def loop_contradictions(g: Graph, min_size: int = LOOP_SIZE) -> Graph:
     """Marks what runs into a large loop and overlaps it."""
     _, keep = g.loops(min_size)
@@ -157,14 +189,14 @@ def iterate(rounds: int, step: Marker, g: Graph) -> Graph:
     return g
 
 
-def evidence_rows(g: Graph, heuristics: tuple[str, ...]) -> list[tuple[str, int, np.ndarray]]:
+def evidence_rows(g: Graph, heuristics: tuple[str, ...], extractors: dict[str, Extractor] = EXTRACTORS, weights: dict[str, int] = WEIGHTS) -> list[tuple[str, int, np.ndarray]]:
     """(feature, weight, nodes) of each known heuristic."""
-    return [(h, WEIGHTS.get(h, DEFAULT_WEIGHT), EXTRACTORS[h](g)) for h in heuristics if h in EXTRACTORS]
+    return [(h, weights.get(h, DEFAULT_WEIGHT), extractors[h](g)) for h in heuristics if h in extractors]
 
 
-def evidence_total(g: Graph, heuristics: tuple[str, ...]) -> np.ndarray:
+def evidence_total(g: Graph, heuristics: tuple[str, ...], extractors: dict[str, Extractor] = EXTRACTORS, weights: dict[str, int] = WEIGHTS) -> np.ndarray:
     total = np.zeros(g.n, np.int64)
-    for _, weight, nodes in evidence_rows(g, heuristics):
+    for _, weight, nodes in evidence_rows(g, heuristics, extractors, weights):
         total[nodes] += weight
     return total
 
@@ -189,10 +221,10 @@ def prepare(g: Graph, options: Options) -> Graph:
     return g.trim()
 
 
-def one_round(g: Graph, heuristics: tuple[str, ...]) -> Graph:
+def one_round(g: Graph, heuristics: tuple[str, ...], markers: dict[str, Marker] = MARKERS) -> Graph:
     for name in heuristics:
-        if name in MARKERS:
-            g = MARKERS[name](g).trim()
+        if name in markers:
+            g = markers[name](g).trim()
     return g
 
 

@@ -190,6 +190,36 @@ def descendant_features(g: Graph, feature: np.ndarray, depth: int) -> np.ndarray
     return feature
 
 
+def def_use(g: Graph) -> dict[int, int]:
+    """Node that uses a register -> node that defines it, the last one met.
+
+    A walk up from each entry notes the latest user of each register when a node is entered; a node that is left
+    forgets the registers it uses and then defines those still asked for.  Nodes that use what they define ask for
+    themselves and are passed over, so pairs of expressions and pairs of free variables are one and the same over
+    sets of registers."""
+    uses, defs = g.uses.tolist(), g.defs.tolist()
+    bits = {m: [v for v in range(m.bit_length()) if m >> v & 1] for m in np.union1d(g.uses, g.defs).tolist()}
+    walker, out = Walker(g), {}
+    for entry in _indices(g.entries()):
+        user: dict[int, int] = {}
+        for entered, node in walker.walk([entry]):
+            for v in bits[uses[node]]:
+                if entered:
+                    user[v] = node
+                else:
+                    user.pop(v, None)
+            if not entered and user:
+                for v in bits[defs[node]]:
+                    if v in user:
+                        out[user.pop(v)] = node
+    return out
+
+
+def definers(g: Graph) -> np.ndarray:
+    """Nodes that define what another uses."""
+    return g.mask(np.array(sorted(set(def_use(g).values())), np.int64))
+
+
 def last_visited_clean(g: Graph, starts: np.ndarray) -> np.ndarray:
     """Starts whose walk along control flow ends on a node without a vertex in its body."""
     owner, _ = g.body_nodes(g.row)

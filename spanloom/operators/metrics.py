@@ -146,6 +146,17 @@ def node_sets(images: DataFrame, of, decoder: str = "t8", prepared: bool = True)
     return per_image(images, step, "addr long", decoder)
 
 
+def node_pairs(images: DataFrame, of, decoder: str = "t8") -> DataFrame:
+    """(image_id, addr, other) of a function from a trimmed graph to a dict between nodes."""
+
+    def step(g: Graph) -> dict:
+        pairs = of(graph.tag(g).trim())
+        a, b = (np.fromiter(x, np.int64, len(pairs)) for x in (pairs.keys(), pairs.values()))
+        return {"image": g.image[a], "addr": g.addr[a], "other": g.addr[b]}
+
+    return per_image(images, step, "addr long, other long", decoder)
+
+
 def live_rows(images: DataFrame, decoder: str = "t8") -> DataFrame:
     """(image_id, addr, var): registers live before each trimmed instruction."""
 

@@ -490,6 +490,29 @@ for _name, _of in {
     _register(_name)(lambda spark, sf_dir, of=_of: metrics.node_sets(images.documents(spark, sf_dir), of))
 
 
+_OLD = ("FixpointGrammar", "FixpointFreevarSSA", "Clamped", "Constant", "ImgEntry")
+
+for _name, _of in {
+    "definers": walks.definers,
+    "trim_definer_descendants": lambda g: heuristics.trim_descendant_features(g, walks.definers, 1).bad,
+    "old_generation_marks": lambda g: heuristics.apply_old_features(g, _OLD).bad,
+    "old_generation_round": lambda g: heuristics.one_round(g, ("DiscardEdges", "ImgEntry", "TrimFixpointGrammar", "TrimFixpointSSA"), heuristics.OLD_MARKERS).row,
+}.items():
+    _register(_name)(lambda spark, sf_dir, of=_of: metrics.node_sets(images.documents(spark, sf_dir), of))
+
+
+@_register("trim_branch_lineage", _sql("SELECT DISTINCT b.image_id, b.addr FROM lconf b SEMI JOIN (SELECT * FROM c ANTI JOIN p USING (image_id, addr)) w ON b.image_id = w.image_id AND b.owner = w.addr ANTI JOIN c x ON b.image_id = x.image_id AND b.addr = x.addr ANTI JOIN p y ON b.image_id = y.image_id AND b.addr = y.addr", extra=_closure("c", "SELECT image_id, addr FROM deg WHERE out_ >= 2", True) + _SPARED))
+def trim_branch_lineage(spark, sf_dir):
+    """The older generation's marker for branches at depth 0, where the order of the walk plays no part."""
+    return metrics.node_sets(images.documents(spark, sf_dir), lambda g: heuristics.trim_descendant_features(g, lambda x: x.branches(), 0).bad)
+
+
+@_register("def_use")
+def def_use(spark, sf_dir):
+    """(image_id, addr, other): a user of a register and the last definer met."""
+    return metrics.node_pairs(images.documents(spark, sf_dir), walks.def_use)
+
+
 # ---------------------------------------------------------------- evidence
 
 

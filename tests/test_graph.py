@@ -199,6 +199,71 @@ def test_random_graphs(seed):
     assert set(zip(after.addr[after.src].tolist(), after.addr[after.dst].tolist())) == {e for e in edges if not gone & set(e)}
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_old_generation(seed):
+    """Definition-use pairs and the markers built on them, against plain recursion and sets."""
+    rng = random.Random(5000 + seed)
+    edges, g = random_graph(rng)
+    g = g.with_(defs=np.array([rng.choice([0, 1, 2, 4, 5]) for _ in range(g.n)]), uses=np.array([rng.choice([0, 1, 2, 4, 6]) for _ in range(g.n)]), kind=np.array([rng.choice([3, 5]) for _ in range(g.n)]))
+    nodes = g.addr.tolist()
+    at = {v: i for i, v in enumerate(nodes)}
+    pred = {v: sorted({a for a, b in edges if b == v}) for v in nodes}
+    succ = {v: {b for a, b in edges if a == v} for v in nodes}
+    has = lambda masks, v: {r for r in range(3) if int(masks[at[v]]) >> r & 1}
+    pairs = {}
+
+    def climb(v, seen, user):
+        seen.add(v)
+        user.update({r: v for r in has(g.uses, v)})
+        for w in pred[v]:
+            if w not in seen:
+                climb(w, seen, user)
+        for r in has(g.uses, v):
+            user.pop(r, None)
+        for r in sorted(has(g.defs, v)):
+            if r in user and user[r] != v:
+                pairs[user[r]] = v
+        for r in has(g.defs, v):
+            user.pop(r, None)
+
+    for v in nodes:
+        if not succ[v] and pred[v]:
+            climb(v, set(), {})
+    assert {nodes[a]: nodes[b] for a, b in walks.def_use(g).items()} == pairs
+    assert addrs(g, walks.definers(g)) == set(pairs.values())
+
+    length = dict(zip(nodes, g.length.tolist()))
+    body = {v: {w for w in nodes if v < w < v + length[v]} for v in nodes}
+    spared = reach(edges, [b for a, b in edges if b != a + length[a]], True)
+    seeds = {v for v in nodes if rng.random() < 0.4}
+    for always in (False, True):
+        # One walk after the other, each past what was visited before.
+        visited, marked = set(spared), set()
+
+        def descend(v):
+            visited.add(v)
+            marked.update(body[v])
+            for w in sorted(succ[v]):
+                if w not in visited:
+                    descend(w)
+
+        for v in sorted(seeds):
+            if always or v not in visited:
+                descend(v)
+        assert addrs(g, heuristics.mark_lineage_bodies(g, np.isin(g.addr, list(seeds)), always).bad) == marked - visited
+
+    kept = heuristics.discard_edges(g)
+    assert set(zip(kept.addr[kept.src].tolist(), kept.addr[kept.dst].tolist())) == {(a, b) for a, b in edges if g.kind[at[a]] != isa.CALL or b == a + length[a]}
+
+
+def test_old_points():
+    """A branch counts five points, and 50 must be exceeded along a walk."""
+    edges = [e for v in range(0, 24, 2) for e in ((v, v + 1), (v, v + 2), (v + 1, v + 2))]
+    g = drawn(edges)
+    total = walks.running_evidence(g, heuristics.evidence_total(g, ("FixpointGrammar", "LayerViolations"), heuristics.OLD_EXTRACTORS, heuristics.OLD_WEIGHTS))
+    assert addrs(g, total > heuristics.OLD_THRESHOLD) == {20, 22}
+
+
 @pytest.mark.parametrize("seed", range(25))
 def test_random_walks(seed):
     """Order-dependent operators against plain recursion."""
