@@ -16,7 +16,11 @@ a pair is lost with a chance of about 1e-8.
 
 As in op6, stars come first: members of a key are compared with its least member.  Then the members of keys
 that still hold several components are compared with each other inside the join, so a large group of near
-copies is not paired out.
+copies is not paired out.  A key of many members is dealt over cells of at most BLOCK members of either side,
+so its comparisons are shared among tasks and none holds the whole key.
+
+The common shingles are held by one in 500 of the sampled texts each, so there are at most 500 times the mean
+number of shingles of a text of them; they are the only broadcast, and only order the keys.
 
 Defined cases: a text of fewer than five words has one shingle, the whole sequence; texts without words and
 null ids take no part; repeated ids are one node; of equal texts the least id stands for all.  Shingles are
@@ -49,6 +53,9 @@ SAMPLE_ROWS, COMMON_SHARE, COMMON_LEAST = 20_000, 1 / 500, 8
 #: The most of 128 bits in which a pair may differ, and the shingles from which that holds.
 FAR, FEW = 42, 24
 
+#: The most members of a key that one cell of its comparisons holds of either side, on average.
+BLOCK = 1_000
+
 _NONE = np.zeros(0, np.uint64)
 
 
@@ -174,6 +181,17 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
+def pairs_of_keys(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of members of a key whose roots differ and that may overlap enough.  rows: key, root and what
+    _OF names, with the key's number of ``blocks``: block i meets block j >= i in a cell of their own."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    left = dealt.select("key", *_OF, "root", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"))
+    right = dealt.select("key", *(F.col(c).alias(f"{c}_b") for c in (*_OF, "root")), F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"))
+    once = (F.col("i") < F.col("j")) | (F.col("a") < F.col("a_b"))
+    met = left.join(right, ["key", "i", "j"]).where(once & (F.col("root") != F.col("root_b")) & _may())
+    return met.select(F.least("a", "a_b").alias("a"), F.greatest("a", "a_b").alias("b"))
+
+
 def similar_links(docs: DataFrame, equal: bool = False) -> DataFrame:
     """(a, b): links that join all different texts of enough overlap; every link is verified.  equal: also from
     each document to the least one of the same text."""
@@ -188,11 +206,10 @@ def similar_links(docs: DataFrame, equal: bool = False) -> DataFrame:
     stars = verified(shared.where("a <> b").where(_may()).select("a", "b"), docs)
     roots = components(stars).select(F.col("node").alias("a"), "root")
     placed = shared.select("key", *_OF).join(roots, "a", "left").withColumn("root", F.coalesce("root", "a"))
-    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = cut(placed.join(several, "key", "left_semi"))
-    right = left.select("key", *(F.col(c).alias(f"{c}_b") for c in (*_OF, "root")))
-    met = left.join(right, (left.key == right.key) & (F.col("a") < F.col("a_b")) & (F.col("root") != F.col("root_b")) & _may())
-    found = stars.unionByName(verified(met.select("a", F.col("a_b").alias("b")), docs))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    several = cut(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), "size"))
+    left = cut(join_facts(placed, several, "key", "size"))
+    found = stars.unionByName(verified(pairs_of_keys(left), docs))
     return found.unionByName(packed.join(first, ["t1", "t2"]).where("a <> b").select("a", "b")) if equal else found
 
 

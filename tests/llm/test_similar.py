@@ -73,6 +73,20 @@ def test_links_do_not_depend_on_size(spark, crowd, monkeypatch):
     assert found(spark, crowd) == groups(crowd)
 
 
+def test_cells_of_a_key_meet_every_pair_once(spark):
+    """Every pair of different roots of a key is met, once, however the members are dealt."""
+    rows = [(k, a, 9, 0, 0, 0, a // 2 * 2, blocks) for k, members, blocks in ((1, 40, 7), (2, 9, 1), (3, 2, 2), (4, 1, 1)) for a in range(members)]
+    frame_ = spark.createDataFrame(rows, "key long, a long, n int, at int, s1 long, s2 long, root long, blocks int")
+    got = sorted((r.a, r.b) for r in similar.pairs_of_keys(frame_).collect())
+    want = sorted((a, b) for members in (40, 9, 2) for b in range(members) for a in range(b) if a // 2 != b // 2)
+    assert got == want
+
+
+def test_dealt_keys_lose_no_link(spark, crowd, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 5)
+    assert found(spark, crowd) == groups(crowd)
+
+
 def test_short_repeated_and_empty_texts(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "A  b c"), (3, "a b"), (4, ""), (5, None), (None, "a b c"), (6, "a b"), (6, "x y z")], "doc_id long, text string")
     got = {r.doc_id: r.root for r in similar.near_copies(docs, docs.select("doc_id")).collect()}
