@@ -2,7 +2,7 @@
 
 Texts whose five-word shingles overlap by 0.8 differ in six to ten of 64 SimHash bits, beyond what keys for
 four bits can promise.  Here a text's distinct shingles are put into one order that all texts share: by hash,
-and those that a sample of texts shows to be common last.  Of n shingles at most q = n // 5 can be missing from
+and those that many of all texts hold last.  Of n shingles at most q = n // 5 can be missing from
 such a partner, so a pair shares one of the first q + 1 of each.  The order among the rare and among the common
 is random, so far fewer serve: of r > q rare shingles the first K all miss with a chance of at most
 (q / r) ** K, which is held below MISS; with fewer rare ones, all of these and as many common ones as keep
@@ -19,8 +19,14 @@ that still hold several components are compared with each other inside the join,
 copies is not paired out.  A key of many members is dealt over cells of at most BLOCK members of either side,
 so its comparisons are shared among tasks and none holds the whole key.
 
-The common shingles are held by one in 500 of the sampled texts each, so there are at most 500 times the mean
-number of shingles of a text of them; they are the only broadcast, and only order the keys.
+The common shingles are held by at least one in 500 of all texts each, so there are at most 500 times the mean
+number of shingles of a text of them; they only order the keys.  They are counted over all texts: blocks of texts
+are counted whole, and a block reports the shingles that one in 1,000 of its texts hold.  What the blocks that
+did not report a shingle can hold of it at most tells which are common, which are not, and which are open; the
+open ones are counted in a second pass, so all numbers are exact however the texts are dealt.  No shingle is open
+unless reports of half the number come in, so there are at most about 1,000 times the mean number of shingles of
+a text of them; they and the common ones are the only broadcasts.  A block of under 1,000 texts reports nearly
+all it holds: where texts are long or partitions small, most distinct shingles of a block are shuffled.
 
 Defined cases: a text of fewer than five words has one shingle, the whole sequence; texts without words and
 null ids take no part; repeated ids are one node; of equal texts the least id stands for all.  Shingles are
@@ -33,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +54,10 @@ SHINGLE_WORDS = 5
 PART, WHOLE = 4, 5
 #: The chance at which either text of a pair may lose it.
 MISS = 1e-9
-#: Texts sampled for common shingles, and the share (and number) of them that makes a shingle common.
-SAMPLE_ROWS, COMMON_SHARE, COMMON_LEAST = 20_000, 1 / 500, 8
+#: The share (and number) of all texts that makes a shingle common.
+COMMON_SHARE, COMMON_LEAST = 1 / 500, 8
+#: The distinct shingles of texts from which on a block is full.
+HELD = 1 << 21
 
 #: The most of 128 bits in which a pair may differ, and the shingles from which that holds.
 FAR, FEW = 42, 24
@@ -104,20 +113,70 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted shingles that many of the sampled texts hold.  n: how many texts there are."""
-    one_of = max(1, n // SAMPLE_ROWS)
-    least = max(COMMON_LEAST, int(n / one_of * COMMON_SHARE))
+def _tallies(texts: DataFrame, least: int, n: int) -> DataFrame:
+    """key, n, slack: how many texts hold each shingle, for each block of texts whose share of ``least`` it reaches
+    by half, and how many may hold one that is not reported.  The null key has the slack of all blocks."""
+    full = HELD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, rows = [], 0, 0
+
+        def block() -> pa.RecordBatch:
+            from_ = -(-rows * least // (2 * n))
+            key, times = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(key, kind="stable")
+            key, times = key[order], times[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            key, times = key[first], np.add.reduceat(times, first) if len(first) else times
+            kept = times >= from_
+            keys = pa.array([None], pa.int64()), pa.array(key[kept].view(np.int64))
+            times = np.append(0, times[kept])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(times), pa.array(np.full(len(times), from_ - 1))], ["key", "n", "slack"])
+
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                held.append(np.unique(shingle_sets(*raw(part.column("text")), _NONE)[1], return_counts=True))
+                size, rows = size + len(held[-1][0]), rows + part.num_rows
+                if size >= full:
+                    yield block()
+                    held, size, rows = [], 0, 0
+        if held:
+            yield block()
+
+    return texts.mapInArrow(run, "key long, n long, slack long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack"))
+
+
+def _counted(texts: DataFrame, keys: np.ndarray) -> DataFrame:
+    """key, n: how many texts hold each of the sorted shingles."""
+    held = texts.sparkSession.sparkContext.broadcast(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = held.value
+        times = np.zeros(len(keys), np.int64)
         for batch in batches:
             for part in pieces(batch, "text"):
-                found, times = np.unique(shingle_sets(*raw(part.column("text")), _NONE)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
+                shingle = shingle_sets(*raw(part.column("text")), _NONE)[1]
+                at = np.minimum(np.searchsorted(keys, shingle), len(keys) - 1)
+                times += np.bincount(at[keys[at] == shingle], minlength=len(keys))
+        kept = times > 0
+        yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(times[kept])], ["key", "n"])
 
-    sample = _texts(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
-    rows = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key").collect()
-    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
+    """Sorted shingles that COMMON_SHARE of all texts hold, and COMMON_LEAST at least.  n: how many texts there are."""
+    least, texts = max(COMMON_LEAST, int(n * COMMON_SHARE)), _texts(docs)
+    told = _tallies(texts, least, n).where(F.col("key").isNull() | (F.col("n") * 2 >= least)).toArrow()
+    blocks = told.column("key").is_null()
+    slack = sum(told.filter(blocks).column("slack").to_pylist())
+    key, times, own = (told.filter(pc.invert(blocks)).column(c).to_numpy() for c in ("key", "n", "slack"))
+    sure = times >= least
+    open_ = ~sure & (times + slack - own >= least)
+    found = [key[sure]]
+    if open_.any():
+        found.append(_counted(texts, np.sort(key[open_].view(np.uint64))).where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy())
+    return np.sort(np.concatenate(found).view(np.uint64))
 
 
 def keyed(docs: DataFrame, common: np.ndarray) -> DataFrame:

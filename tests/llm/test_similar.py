@@ -1,7 +1,9 @@
 """Near copies beyond four bits, against brute force on whole shingle sets."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from spanloom.llm import similar
@@ -73,6 +75,26 @@ def test_links_do_not_depend_on_size(spark, crowd, monkeypatch):
     assert found(spark, crowd) == groups(crowd)
 
 
+@pytest.mark.parametrize("parts, full", [(1, 1 << 21), (4, 1 << 21), (4, 4_000), (50, 1 << 21)])
+def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch, parts, full):
+    """Phrases that the least number of texts hold, or a few more or less, together, scattered, or in part both."""
+    n, least = 41_000, 82
+    texts = [f"alone{i}" for i in range(n)]
+    free = list(range(n))
+    for k, (times, together) in enumerate((t, share) for t in range(least - 4, least + 5) for share in (0, 0.5, 0.9, 0.95, 1)):
+        run = round(times * together)
+        at = [free.pop(k * 100) for _ in range(run)] + [free.pop(j * (len(free) // 90)) for j in range(times - run)]
+        for i in at:
+            texts[i] = f"some phrase of number p{k}"
+    want = sorted(t for t, times in Counter(texts).items() if times >= least)
+    assert len(want) == 25 and len(set(texts)) > n - 5_000
+    monkeypatch.setattr(similar, "HELD", full, raising=False)
+    docs = spark.sparkContext.parallelize(list(enumerate(texts)), parts).toDF("doc_id long, text string")
+    assert docs.rdd.getNumPartitions() == parts
+    hashes = np.concatenate([similar.shingle_sets(t.encode(), np.array([0, len(t)]), np.zeros(0, np.uint64))[1] for t in want])
+    assert similar.common_shingles(docs, n).tolist() == sorted(hashes.tolist())
+
+
 def test_cells_of_a_key_meet_every_pair_once(spark):
     """Every pair of different roots of a key is met, once, however the members are dealt."""
     rows = [(k, a, 9, 0, 0, 0, a // 2 * 2, blocks) for k, members, blocks in ((1, 40, 7), (2, 9, 1), (3, 2, 2), (4, 1, 1)) for a in range(members)]
