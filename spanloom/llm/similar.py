@@ -20,13 +20,13 @@ copies is not paired out.  A key of many members is dealt over cells of at most
 so its comparisons are shared among tasks and none holds the whole key.
 
 The common shingles are held by at least one in 500 of all texts each, so there are at most 500 times the mean
-number of shingles of a text of them; they only order the keys.  They are counted over all texts: blocks of texts
-are counted whole, and a block reports the shingles that one in 1,000 of its texts hold.  What the blocks that
-did not report a shingle can hold of it at most tells which are common, which are not, and which are open; the
-open ones are counted in a second pass, so all numbers are exact however the texts are dealt.  No shingle is open
-unless reports of half the number come in, so there are at most about 1,000 times the mean number of shingles of
-a text of them; they and the common ones are the only broadcasts.  A block of under 1,000 texts reports nearly
-all it holds: where texts are long or partitions small, most distinct shingles of a block are shuffled.
+number of shingles of a text of them; they only order the keys.  They are counted over all texts, in two passes.
+The first adds up how often shingles fall on each of some counters, two for a shingle, with a table for each task;
+no common shingle has a counter below the number of texts that makes one.  The second counts in how many texts the
+shingles stand whose counters both reach that number, so all numbers are exact however the texts are dealt.  There
+are as many counters as keep their mean at half that number or less, so few other shingles are counted, and a
+task's rows are a table and what it holds of those.  Where texts are longer than 16 KB on average, the counters are
+MOST_COUNTERS and their mean is higher: from about 100 KB on, most distinct shingles of a task are counted.
 
 Defined cases: a text of fewer than five words has one shingle, the whole sequence; texts without words and
 null ids take no part; repeated ids are one node; of equal texts the least id stands for all.  Shingles are
@@ -39,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +55,10 @@ PART, WHOLE = 4, 5
 MISS = 1e-9
 #: The share (and number) of all texts that makes a shingle common.
 COMMON_SHARE, COMMON_LEAST = 1 / 500, 8
-#: The distinct shingles of texts from which on a block is full.
+#: The shingles of texts from which on a task hands over what it has counted.
 HELD = 1 << 21
+#: The least and the most counters, and how many of them make a row.
+LEAST_COUNTERS, MOST_COUNTERS, PANEL = 1 << 14, 1 << 24, 1 << 14
 
 #: The most of 128 bits in which a pair may differ, and the shingles from which that holds.
 FAR, FEW = 42, 24
@@ -65,11 +66,14 @@ FAR, FEW = 42, 24
 #: The most members of a key that one cell of its comparisons holds of either side, on average.
 BLOCK = 1_000
 
+#: Bytes of text that are worked on at once.
+PIECE = 1 << 19
+
 _NONE = np.zeros(0, np.uint64)
 
 
-def shingle_sets(data: bytes, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle, whether common) of all texts' distinct shingles in order; common: sorted shingles that go last."""
+def shingles_of(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of all texts' shingles as they stand, repeats included."""
     data = data.translate(LOWER)
     w = words(data, offsets)
     h, doc = hash_spans(data, w.start, w.end, 2), w.doc
@@ -79,8 +83,10 @@ def shingle_sets(data: bytes, offsets: np.ndarray, common: np.ndarray) -> tuple[
     for k, c in enumerate(odd_constants(SHINGLE_WORDS, 23)[: len(h)]):
         shingle[: len(h) - k] += np.where(left[: len(h) - k] > k, h[k:] * c, np.uint64(0))
     kept = (left >= SHINGLE_WORDS) | (place == 0)
-    shingle, doc = mix(shingle[kept]), doc[kept]
-    last = common[np.minimum(np.searchsorted(common, shingle), len(common) - 1)] == shingle if len(common) else np.zeros(len(shingle), bool)
+    return doc[kept], mix(shingle[kept])
+
+
+def _distinct(doc: np.ndarray, shingle: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((shingle, last, doc))
     shingle, doc, last = shingle[order], doc[order], last[order]
     new = np.ones(len(shingle), bool)
@@ -88,6 +94,13 @@ def shingle_sets(data: bytes, offsets: np.ndarray, common: np.ndarray) -> tuple[
     return doc[new], shingle[new], last[new]
 
 
+def shingle_sets(data: bytes, offsets: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, whether common) of all texts' distinct shingles in order; common: sorted shingles that go last."""
+    doc, shingle = shingles_of(data, offsets)
+    last = common[np.minimum(np.searchsorted(common, shingle), len(common) - 1)] == shingle if len(common) else np.zeros(len(shingle), bool)
+    return _distinct(doc, shingle, last)
+
+
 def _needed(spare: np.ndarray, of: np.ndarray) -> np.ndarray:
     """How many of ``of`` shingles in random order must be looked at so that, if ``spare`` of them may be missing
     from a partner, all that are looked at are missing with a chance of at most MISS."""
@@ -113,53 +126,70 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
-def _tallies(texts: DataFrame, least: int, n: int) -> DataFrame:
-    """key, n, slack: how many texts hold each shingle, for each block of texts whose share of ``least`` it reaches
-    by half, and how many may hold one that is not reported.  The null key has the slack of all blocks."""
-    full = HELD
+def _counters(shingle: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two counters, of ``size`` (a power of two), on which each shingle falls."""
+    mask = np.uint64(size - 1)
+    return (shingle & mask).view(np.int64), (shingle >> np.uint64(32) & mask).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, rows = [], 0, 0
 
-        def block() -> pa.RecordBatch:
-            from_ = -(-rows * least // (2 * n))
-            key, times = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(key, kind="stable")
-            key, times = key[order], times[order]
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-            key, times = key[first], np.add.reduceat(times, first) if len(first) else times
-            kept = times >= from_
-            keys = pa.array([None], pa.int64()), pa.array(key[kept].view(np.int64))
-            times = np.append(0, times[kept])
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(times), pa.array(np.full(len(times), from_ - 1))], ["key", "n", "slack"])
+def _reached(texts: DataFrame, least: int, size: int) -> np.ndarray:
+    """Whether each of ``size`` counters reaches ``least`` over all shingles of all texts, as packed bits."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(size, np.uint32)
         for batch in batches:
-            for part in pieces(batch, "text"):
-                held.append(np.unique(shingle_sets(*raw(part.column("text")), _NONE)[1], return_counts=True))
-                size, rows = size + len(held[-1][0]), rows + part.num_rows
-                if size >= full:
-                    yield block()
-                    held, size, rows = [], 0, 0
-        if held:
-            yield block()
+            for part in pieces(batch, "text", PIECE):
+                for at in _counters(shingles_of(*raw(part.column("text")))[1], size):
+                    np.add.at(times, at, np.uint32(1))
+        np.minimum(times, least, out=times)
+        for panel, own in enumerate(times.reshape(-1, PANEL)):
+            if own.any():
+                kind = np.min_scalar_type(own.max())
+                yield pa.RecordBatch.from_arrays([pa.array([panel]), pa.array([kind.itemsize]), pa.array([pa.compress(own.astype(kind), codec="zstd", asbytes=True)])], ["panel", "width", "packed"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for panel, width, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(pa.decompress(packed, PANEL * width, codec="zstd", asbytes=True), f"u{width}")
+                times.setdefault(panel, np.zeros(PANEL, np.int64))
+                times[panel] += own
+        bits = [np.packbits(own >= least).tobytes() for own in times.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([*times], pa.int64()), pa.array(bits, pa.binary())], ["panel", "bits"])
 
-    return texts.mapInArrow(run, "key long, n long, slack long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("slack").alias("slack"))
+    tables = texts.mapInArrow(count, "panel long, width long, packed binary").repartition("panel")
+    bits = np.zeros((size // PANEL, PANEL // 8), np.uint8)
+    for r in tables.mapInArrow(add, "panel long, bits binary").collect():
+        bits[r.panel] = np.frombuffer(r.bits, np.uint8)
+    return bits.ravel()
 
 
-def _counted(texts: DataFrame, keys: np.ndarray) -> DataFrame:
-    """key, n: how many texts hold each of the sorted shingles."""
-    held = texts.sparkSession.sparkContext.broadcast(keys)
+def _counted(texts: DataFrame, reached: np.ndarray) -> DataFrame:
+    """key, n: how many texts hold each of the shingles whose counters are both among ``reached``."""
+    held, full = texts.sparkSession.sparkContext.broadcast(reached), HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = held.value
-        times = np.zeros(len(keys), np.int64)
+        often = np.unpackbits(held.value).view(bool)
+        found, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            key, times = (np.concatenate(x) for x in zip(*found))
+            key, at = np.unique(key, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(at, times, len(key)).astype(np.int64))], ["key", "n"])
+
         for batch in batches:
-            for part in pieces(batch, "text"):
-                shingle = shingle_sets(*raw(part.column("text")), _NONE)[1]
-                at = np.minimum(np.searchsorted(keys, shingle), len(keys) - 1)
-                times += np.bincount(at[keys[at] == shingle], minlength=len(keys))
-        kept = times > 0
-        yield pa.RecordBatch.from_arrays([pa.array(keys[kept].view(np.int64)), pa.array(times[kept])], ["key", "n"])
+            for part in pieces(batch, "text", PIECE):
+                doc, shingle = shingles_of(*raw(part.column("text")))
+                one, two = _counters(shingle, len(often))
+                kept = often[one] & often[two]
+                shingle = _distinct(doc[kept], shingle[kept], np.zeros(np.count_nonzero(kept), bool))[1]
+                found.append(np.unique(shingle, return_counts=True))
+                size += len(found[-1][0])
+                if size >= full:
+                    yield block()
+                    found, size = [], 0
+        if found:
+            yield block()
 
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -167,16 +197,11 @@ def _counted(texts: DataFrame, keys: np.ndarray) -> DataFrame:
 def common_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """Sorted shingles that COMMON_SHARE of all texts hold, and COMMON_LEAST at least.  n: how many texts there are."""
     least, texts = max(COMMON_LEAST, int(n * COMMON_SHARE)), _texts(docs)
-    told = _tallies(texts, least, n).where(F.col("key").isNull() | (F.col("n") * 2 >= least)).toArrow()
-    blocks = told.column("key").is_null()
-    slack = sum(told.filter(blocks).column("slack").to_pylist())
-    key, times, own = (told.filter(pc.invert(blocks)).column(c).to_numpy() for c in ("key", "n", "slack"))
-    sure = times >= least
-    open_ = ~sure & (times + slack - own >= least)
-    found = [key[sure]]
-    if open_.any():
-        found.append(_counted(texts, np.sort(key[open_].view(np.uint64))).where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy())
-    return np.sort(np.concatenate(found).view(np.uint64))
+    # A shingle takes two bytes of text in general and falls on two counters, so their mean is half of least, or less.
+    wanted = 2 * (texts.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // least
+    size = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << wanted.bit_length()))
+    found = _counted(texts, _reached(texts, least, size)).where(F.col("n") >= least).select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().view(np.uint64))
 
 
 def keyed(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -186,7 +211,7 @@ def keyed(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 doc, shingle, last = shingle_sets(*raw(part.column("text")), held.value)
                 per_text = np.bincount(doc, minlength=part.num_rows)
                 bits = [pa.array(majority(h, per_text).view(np.int64)) for h in (shingle, mix(shingle ^ np.uint64(1)))]
@@ -205,7 +230,7 @@ def shingled(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE):
                 doc, shingle, _ = shingle_sets(*raw(part.column("text")), _NONE)
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle.view(np.int64)))], ["doc_id", "shingles"])

@@ -95,6 +95,44 @@ def test_common_shingles_are_counted_over_all_texts(spark, monkeypatch, parts, f
     assert similar.common_shingles(docs, n).tolist() == sorted(hashes.tolist())
 
 
+@pytest.mark.parametrize("parts, full, rows", [(50, 1 << 21, 10_000), (1, 1, 9_900)])
+def test_counting_common_shingles_hands_over_few_rows(spark, monkeypatch, parts, full, rows):
+    """Rows that leave Python while common shingles are counted: no text's own shingles are among them, however few
+    texts a task has, or has left over."""
+    n, least = 20_000, 40
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(20))
+    docs = spark.sparkContext.parallelize(range(n), parts).map(lambda i: (i, own(i) if i % 400 else "the same phrase of all")).toDF("doc_id long, text string")
+    monkeypatch.setattr(similar, "HELD", full)
+    made, plain = spark.sparkContext.accumulator(0), type(docs).mapInArrow
+
+    def counting(df, run, schema, *more, **named):
+        def told(batches):
+            for batch in run(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(df, told, schema, *more, **named)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counting)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        common = similar.common_shingles(docs, n)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(common) == 1 and n // 400 >= least
+    assert 0 < made.value < 2_000
+
+
+def test_common_shingles_of_crowded_counters(spark, crowd, monkeypatch):
+    """With as few counters as there can be, all are reached and every shingle is counted; the result is the same."""
+    monkeypatch.setattr(similar, "MOST_COUNTERS", similar.PANEL)
+    texts = [" ".join([t] + [f"{t[:40]}{k}" for k in range(2_000)]) for t in crowd]
+    held = Counter(h for t in texts for h in similar.shingle_sets(t.encode(), np.array([0, len(t.encode())]), np.zeros(0, np.uint64))[1].tolist())
+    want = sorted(h for h, times in held.items() if times >= similar.COMMON_LEAST)
+    assert similar._reached(similar._texts(frame(spark, texts)), similar.COMMON_LEAST, similar.PANEL).all()
+    assert want and similar.common_shingles(frame(spark, texts), len(texts)).tolist() == want
+
+
 def test_cells_of_a_key_meet_every_pair_once(spark):
     """Every pair of different roots of a key is met, once, however the members are dealt."""
     rows = [(k, a, 9, 0, 0, 0, a // 2 * 2, blocks) for k, members, blocks in ((1, 40, 7), (2, 9, 1), (3, 2, 2), (4, 1, 1)) for a in range(members)]
